@@ -143,6 +143,11 @@ def solid_bytes(data: np.ndarray) -> np.ndarray:
     return _SOLID[data]
 
 
+def byte_values(low: np.ndarray) -> np.ndarray:
+    """A random number for each byte, to be summed up to hashes."""
+    return _BYTE[low]
+
+
 class Words(NamedTuple):
     """hash, start and end byte of each word; offsets: the first word of each row, and the end."""
 
@@ -152,7 +157,21 @@ class Words(NamedTuple):
     offsets: np.ndarray
 
 
-def words(piece: Pieces, inside: np.ndarray | None = None, low: np.ndarray | None = None) -> Words:
+def runs(piece: Pieces, inside: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and byte after the last of maximal runs of ``inside`` bytes; they don't cross rows or breaks."""
+    n = len(piece.data)
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[piece.offsets] = True
+    if breaks is not None:
+        edge[breaks] = True
+    before = np.zeros(n, dtype=bool)
+    before[1:] = inside[:-1]
+    behind = np.zeros(n, dtype=bool)
+    behind[:-1] = inside[1:]
+    return np.flatnonzero(inside & (~before | edge[:-1])), np.flatnonzero(inside & (~behind | edge[1:])) + 1
+
+
+def words(piece: Pieces, inside: np.ndarray | None = None, low: np.ndarray | None = None, breaks: np.ndarray | None = None) -> Words:
     """Maximal runs of ``inside`` bytes, hashed without case; runs don't cross rows."""
     data, offsets = piece
     n = len(data)
@@ -161,15 +180,8 @@ def words(piece: Pieces, inside: np.ndarray | None = None, low: np.ndarray | Non
         return Words(np.zeros(0, np.uint64), empty, empty, np.zeros(len(offsets), np.int64))
     inside = word_bytes(data) if inside is None else inside
     low = lowered(data) if low is None else low
-    edge = np.zeros(n + 1, dtype=bool)
-    edge[offsets] = True
-    before = np.zeros(n, dtype=bool)
-    before[1:] = inside[:-1]
-    start = np.flatnonzero(inside & (~before | edge[:-1]))
-    behind = np.zeros(n, dtype=bool)
-    behind[:-1] = inside[1:]
-    end = np.flatnonzero(inside & (~behind | edge[1:])) + 1
-    hashes = span_hashes(prefix_sums(_BYTE[low]), start, end)
+    start, end = runs(piece, inside, breaks)
+    hashes = span_hashes(prefix_sums(byte_values(low)), start, end)
     return Words(hashes, start, end, np.searchsorted(start, offsets))
 
 

@@ -30,3 +30,40 @@ select o.doc_id, cast(o.line_no as int) as line_no, k.kept.doc_id as kept_doc_id
 from occurring o join keepers k using (line)
 where {'doc_id': o.doc_id, 'line_no': o.line_no} <> k.kept
 """
+
+MIXING = r"""
+with counted as (
+    select doc_id, source, cast(len(regexp_extract_all(text, '[^ \t\n\r\f]+')) as bigint) as tokens
+    from documents where doc_id is not null and text is not null
+), ordered as (
+    select *, md5('17:' || doc_id) as ord from counted where tokens > 0
+), shards as (
+    select greatest(1, cast(ceil(sum(tokens) / 16000000) as bigint)) as shards from ordered
+), placed as (
+    select doc_id, source, tokens, cast(('0x' || substr(ord, 1, 8))::bigint % shards as int) as shard, ord from ordered, shards
+), spanned as (
+    select *, cast(sum(tokens) over (partition by shard, source order by ord, doc_id, tokens rows unbounded preceding) as bigint) as stop from placed
+), streams as (
+    select shard, source, cast(sum(tokens) // 1024 as bigint) as blocks from placed group by shard, source having sum(tokens) >= 1024
+), seats as (
+    select shard, source, sum(blocks) over (partition by shard) as everything, unnest(range(1, blocks + 1)) as seat from streams
+), ranked as (
+    select *, row_number() over (partition by shard order by 1.0::double / (2 * seat - 1) desc, source nulls last, seat) as rank from (
+        select s.shard, s.source, a.everything, s.seat from seats s join (select shard, sum(blocks) as everything from streams group by shard) a using (shard)
+    )
+), quotas as (
+    select shard, source, count(*) as quota from ranked where rank <= floor(everything * 0.5::double) group by shard, source
+), blocks as (
+    select shard, source, unnest(range(0, blocks)) as block from streams
+), picked as (
+    select *, row_number() over (partition by shard, source order by md5('17:' || shard || ':' || block || ':' || coalesce(source, '')), block) as pick from blocks
+), chosen as (
+    select p.shard, p.source, p.block from picked p join quotas q on p.shard = q.shard and p.source is not distinct from q.source where pick <= quota
+), spans as (
+    select shard, source, doc_id, stop - tokens as start, stop, unnest(range((stop - tokens) // 1024, (stop - 1) // 1024 + 1)) as block from spanned
+)
+select s.shard, s.source, cast(s.block as bigint) as block, s.doc_id,
+       cast(greatest(s.start, s.block * 1024) - s.start as bigint) as first_token,
+       cast(least(s.stop, (s.block + 1) * 1024) - s.start as bigint) as end_token
+from spans s join chosen c on s.shard = c.shard and s.source is not distinct from c.source and s.block = c.block
+"""
