@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import quality_classifier, quality_rules, sql
+from .archives import arc_to_warc, pages_as_arc
 from .common import read
 from .decontamination import contaminated
 from .line_dedup import repeated_lines
@@ -14,6 +16,7 @@ from .mixing import mixture
 from .near_dedup import near_duplicates
 from .secrets import confirmed_secrets
 from .token_counts import token_counts
+from .url_filters import url_filter
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +24,22 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(read(spark, sf_dir, "documents")).select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "edits")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The WARC records of all pages, which are first put into ARC files of both versions."""
+    return arc_to_warc(pages_as_arc(read(spark, sf_dir, "pages"))).withColumn("block", F.decode("block", "UTF-8"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a near-duplicate document and the document of its group that stays."""
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "kept_doc_id")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its path template; the labels are those of the documents of the same number."""
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad")
+    return url_filter(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE tokens of every document."""
     return token_counts(read(spark, sf_dir, "documents"))
@@ -63,7 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup,
+        op2_warc,
         op3_near_dedup,
+        op4_url_filter,
         op5_token_counts,
         op6_decontamination,
         op7_secrets,
@@ -73,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": sql.LINE_DEDUP, "op10_mixing": sql.MIXING}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": sql.LINE_DEDUP, "op2_warc": sql.WARC, "op10_mixing": sql.MIXING}

@@ -67,3 +67,51 @@ select s.shard, s.source, cast(s.block as bigint) as block, s.doc_id,
        cast(least(s.stop, (s.block + 1) * 1024) - s.start as bigint) as end_token
 from spans s join chosen c on s.shard = c.shard and s.source is not distinct from c.source and s.block = c.block
 """
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::int >> {s}) & 31) + 1, 1)" for g in range(8) for s in (15, 10, 5, 0)
+)
+
+WARC = rf"""
+with crlf as (select chr(13) || chr(10) as nl),
+dated as (
+    select page_id, url, html, nl, case when page_id % 2 <> 0 then 2 else 1 end as version,
+           make_timestamp((820454400 + page_id) * 1000000) as ts, 'page-' || page_id || '.arc' as arc_name
+    from pages, crlf where page_id is not null and url is not null and html is not null
+), blocks as (
+    select page_id, 1 as part, 'filedesc://' || arc_name as url, arc_name, ts, nl, version,
+           case version when 1 then '1 0 crawl' || chr(10) || 'URL IP-address Archive-date Content-type Archive-length' || chr(10)
+                else '2 0 crawl' || chr(10) || 'URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length' || chr(10) end as block,
+           null as body
+    from dated
+    union all
+    select page_id, 2, url, arc_name, ts, nl, version,
+           'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(html) || nl || nl || html, html
+    from dated
+), hashed as (
+    select *, sha1(block) as block_h, case when body is not null then sha1(body) end as body_h from blocks
+), digests as (
+    select * exclude (block_h, body_h), (select 'sha1:' || {_BASE32} from (select block_h as h)) as block_digest,
+           case when body_h is not null then (select 'sha1:' || {_BASE32} from (select body_h as h)) end as payload_digest
+    from hashed
+), named as (
+    select *, md5(url || '|' || strftime(ts, '%Y%m%d%H%M%S') || '|' || block_digest) as m from digests
+), identified as (
+    select *, '<urn:uuid:' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-3' || substr(m, 14, 3) || '-' || substr('89ab', ('0x' || substr(m, 17, 1))::int % 4 + 1, 1)
+           || substr(m, 18, 3) || '-' || substr(m, 21) || '>' as record_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as warc_date
+    from named
+)
+select arc_name,
+       case part when 1 then 0 else strlen('filedesc://' || arc_name || ' 0.0.0.0 19960101000000 text/plain ' || case version when 2 then '200 - - 0 ' || arc_name || ' ' else '' end || strlen(first_block) || chr(10)) + strlen(first_block) + 1 end as arc_offset,
+       case part when 1 then 'warcinfo' else 'response' end as warc_type, record_id, warc_date,
+       case part when 2 then url end as target_uri, case part when 2 then '192.0.2.1' end as ip_address,
+       case part when 1 then 'application/warc-fields' else 'application/http; msgtype=response' end as content_type,
+       cast(case part when 2 then 200 end as int) as http_status, case part when 2 then 'text/html' end as payload_type, block_digest, payload_digest,
+       strlen(block) as content_length, false as truncated,
+       'WARC/1.0' || nl || 'WARC-Type: ' || case part when 1 then 'warcinfo' else 'response' end || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Date: ' || warc_date || nl
+       || case part when 1 then 'WARC-Filename: ' || arc_name else 'WARC-Target-URI: ' || url || nl || 'WARC-IP-Address: 192.0.2.1' end || nl || 'WARC-Block-Digest: ' || block_digest || nl
+       || case part when 1 then 'Content-Type: application/warc-fields' else 'WARC-Payload-Digest: ' || payload_digest || nl || 'WARC-Identified-Payload-Type: text/html' || nl || 'Content-Type: application/http; msgtype=response' end || nl
+       || 'Content-Length: ' || strlen(block) || nl || nl as warc_header,
+       block
+from (select *, max(case part when 1 then block end) over (partition by page_id) as first_block from identified)
+"""
