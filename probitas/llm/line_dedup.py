@@ -161,7 +161,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     other than doc_id and text are ignored, whatever their names.  An empty table gives no rows.
     """
     source = with_row_key(docs, F.lower("text").alias("text"))
-    lines = cut(source.mapInArrow(_line_keys, _KEYS))
+    lines = source.mapInArrow(_line_keys, _KEYS)
     distinct = cut(
         lines.groupBy("key", "check").agg(
             F.min(_at()).alias("at"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), *(F.min(h).alias(h) for h in _HALVES)
