@@ -10,8 +10,8 @@ isn't.
 
 - number: digits, also with . or , between them, and written-out numbers of ``NUMBERS``;
 - unit: a word of ``UNITS`` right behind a number, also if glued to it;
-- name: capitalised words within a sentence, and given names of ``NAMES`` anywhere; a run of
-  them is one name.
+- name: capitalised words within a sentence that aren't among ``PLAIN``, and given names of
+  ``NAMES`` anywhere; a run of them is one name.
 
 An item contaminates a text if at least ``COVERAGE`` of the item's windows are matched.
 Windows with fewer than half literal words aren't used.  Items of fewer than ``WINDOW`` words
@@ -55,6 +55,12 @@ NAMES = (
     "melissa deborah stephanie laura anna ann anne amy kate emma olivia sophia julia maria jane alice lucy grace rachel maya natalia janet "
     "sofia camille elena ingrid weng"
 ).split()
+#: Never names, however they are written: words that often begin a sentence or a line.
+PLAIN = (
+    "a an the this that these those i he she it we you they his her its our their my your in on at by for from to of with without and or but if "
+    "when while what which who whom whose where why how is are was were do does did has have had can could will would should may might must not no "
+    "yes all any each every some one after before as so then than there here let given suppose find calculate"
+).split()
 
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
@@ -69,7 +75,7 @@ def _lists() -> tuple[np.ndarray, ...]:
         data = np.frombuffer(" ".join(list_).encode(), dtype=np.uint8)
         return np.sort(words(Pieces(data, np.array([0, len(data)]))).hash)
 
-    return tuple(hashes(x) for x in (NUMBERS, UNITS, NAMES))
+    return tuple(hashes(x) for x in (NUMBERS, UNITS, NAMES, PLAIN))
 
 
 def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -87,7 +93,7 @@ def templates(piece: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     n = len(found.hash)
     if not n:
         return found.hash, np.zeros(0, np.int8), found.hash, found.offsets
-    numbers, units, names = _lists()
+    numbers, units, names, plain = _lists()
     start, end = found.start, found.end
     digits = np.concatenate([[0], np.cumsum(digit)])
     number = (digits[end] - digits[start] == end - start) | _among(found.hash, numbers)
@@ -101,7 +107,7 @@ def templates(piece: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     first = np.where(wide, 2, 1)
     within = np.minimum(start + first, end)
     capital = (changed[within] > changed[start]) & (changed[end] == changed[within]) & (end > within)
-    name = capital & ~number & (~opens | _among(found.hash, names))
+    name = capital & ~number & (~opens | _among(found.hash, names)) & ~_among(found.hash, plain)
     after_number = np.concatenate([[False], number[:-1]]) & ~head
     unit = after_number & ~number & _among(found.hash, units)
     kind = np.zeros(n, dtype=np.int8)
