@@ -52,7 +52,7 @@ class ArcRecord(NamedTuple):
 
 
 def unpacked(content: bytes) -> bytes:
-    """``content``, decompressed if it is a series of gzip members; what follows the last whole member is left out."""
+    """``content``, decompressed if it is a series of gzip members; of a member that breaks off, what can be unpacked."""
     if content[:2] != b"\x1f\x8b":
         return content
     out = []
