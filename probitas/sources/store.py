@@ -180,7 +180,7 @@ class ParquetStore:
         ids.coalesce(1).write.mode("append").parquet(f"{self.path}/deleted")
 
     def _gone(self, now: dt.datetime | None) -> DataFrame:
-        expiry = F.date_trunc("second", F.timestampadd("HOUR", F.col("ttl_hours"), F.col("created")))
+        expiry = F.date_trunc("second", F.expr("created + make_dt_interval(0, ttl_hours)"))
         return self.frame().where(expiry < F.date_trunc("second", F.lit(now or _now()).cast("timestamp")))
 
     def stats(self, now: dt.datetime | None = None) -> StoreStats:
