@@ -11,7 +11,9 @@ for every i.  Two lines are within one edit only if their neighbourhoods meet, s
 of hashed neighbours finds all pairs.  Emitting the neighbours of all lines would shuffle some
 fifty keys a line, so lines are sieved before: if one word differs, the first or the last half
 of the words is the same (pigeonhole), so a line that shares neither half with any other
-distinct line has no partner.  The sieve loses no pair.  The word lists of all pairs found are
+distinct line has no partner.  The sieve loses no pair.  The halves are rounded down to a few
+lengths, so that nearly all lines have the same ones whether they are the longer or the shorter
+of a pair.  The word lists of all pairs found are
 compared before a line is dropped, so hash collisions drop nothing.
 
 Within a bucket of equal neighbours, lines of one length that lack the same position are
@@ -67,6 +69,14 @@ def _lines(piece):
     return found, row, number, first, last
 
 
+_LENGTHS = np.unique([k << e for e in range(40) for k in (1, 5, 6, 7)])
+
+
+def _half(n: np.ndarray) -> np.ndarray:
+    """The largest of _LENGTHS that is at most n / 2."""
+    return _LENGTHS[np.searchsorted(_LENGTHS, np.maximum(n // 2, 1), side="right") - 1]
+
+
 def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, row_key, text) to the hashes of each line of at least MIN_WORDS words."""
     for batch in batches:
@@ -81,11 +91,11 @@ def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = span_hashes(sums, first, last)
             check = span_hashes(prefix_sums(found.hash, BASE2), first, last, _BASE2_INV)
             halves = []
-            for shorter in (n, n - 1):  # as the shorter or equal line of a pair, and as the longer
-                half = shorter // 2
-                tag = shorter.astype(np.uint64) * _U(4)
-                halves.append(mix(span_hashes(sums, first, first + half) + tag))
-                halves.append(mix(span_hashes(sums, last - (shorter - half), last) + tag + _U(1)))
+            longer = _half(n)  # as the shorter or equal line of a pair
+            for half in (longer, _half(n - 1)):  # and as the longer
+                same = (half == longer) & bool(halves)
+                halves.append(pa.array(span_hashes(sums, first, first + half).view(np.int64), mask=same))
+                halves.append(pa.array(mix(span_hashes(sums, last - half, last)).view(np.int64), mask=same))
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -95,7 +105,7 @@ def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(n.astype(np.int32)),
                     signed(key),
                     signed(check),
-                    *map(signed, halves),
+                    *halves,
                 ],
                 names=["doc_id", "row_key", "line_no", "n", "key", "check", *_HALVES],
             )
@@ -167,7 +177,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
             F.min(_at()).alias("at"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), *(F.min(h).alias(h) for h in _HALVES)
         )
     )
-    halves = distinct.where(F.col("n") >= NEAR_WORDS).select("at", F.explode(F.array(*_HALVES)).alias("half"))
+    halves = distinct.where(F.col("n") >= NEAR_WORDS).select("at", F.explode(F.array_compact(F.array(*_HALVES))).alias("half"))
     shared = (
         halves.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("half")))
         .where("lines > 1")
