@@ -64,13 +64,22 @@ class Planner:
                 m.validate(rows)
                 where = self.source.condition(_thaw(m.parameters)) if m.parameters != parameters else None
                 columns.append(m.column(where).alias(f"m{k}"))
-            out.append((members, rows.groupBy(DATE).agg(*columns)))
+            if self.source.by_date:
+                out.append((members, rows.groupBy(DATE).agg(*columns)))
+            else:  # one day, so one group, which has a row even without input
+                out.append((members, rows.drop(DATE).agg(*columns).withColumn(DATE, F.lit(dates[0]))))
         return out
 
     def table(self, dates: list[dt.date], metrics: dict[str, Metric]) -> DataFrame:
         """(date, a column for each name), with a row for each of the days, also those without rows."""
         dates = sorted(set(dates))
         names = {m: n for n, m in metrics.items()}
+        if not self.source.by_date:
+            if len(dates) > 1:
+                raise ProbitasError(f"{self.source.name} has no date column, so it has no values for other days")
+            parts = [f.select(*(F.col(f"m{k}").alias(names[m]) for k, m in enumerate(members))) for members, f in self.frames(dates, metrics.values())]
+            row = reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+            return row.select(F.lit(dates[0]).alias("date"), *(F.col(f"`{names[m]}`").alias(n) for n, m in metrics.items()))
         spark = self.source.rows(dates[:1]).sparkSession
         days = spark.createDataFrame([(d,) for d in dates], "date date")
         joined = days
