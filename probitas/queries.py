@@ -140,13 +140,15 @@ _DAILY = "select cast(ts as date) as date, sum(value) as v from events group by
 
 
 @_register(
-    """select cast(cast(ts as date) as varchar) as date, round(cast(count(*) as double), 6) as n, round(sum(value), 6) as total, round(avg(value), 6) as mean,
+    """select cast(cast(ts as date) as varchar) as date, round(cast(count(*) as double), 6) as n, round(sum(value), 6) as total, round(avg(value), 11) as mean,
        round(cast(count(distinct user_id) as double), 6) as users, round(var_samp(value), 6) as spread from events group by cast(ts as date)"""
 )
 def daily_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five metrics for thirty days in one aggregation."""
     metrics = {"n": M.num_rows(), "total": M.total("value"), "mean": M.average("value"), "users": M.unique_count("user_id"), "spread": M.variance("value")}
-    return _rounded(Planner(_events(spark, sf_dir)).table(JANUARY, metrics), 6)
+    daily = Planner(_events(spark, sf_dir)).table(JANUARY, metrics)
+    # means of few values with two digits are often half-way between two shorter numbers
+    return daily.select(F.col("date").cast("string").alias("date"), *(F.round(n, 11 if n == "mean" else 6).alias(n) for n in metrics))
 
 
 @_register(
