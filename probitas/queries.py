@@ -89,8 +89,8 @@ _metric_query("length_string", "documents", {"shortest": M.min_length("text"), "
 _metric_query(
     "length_list",
     "embeddings",
-    {"shortest": M.min_length("slice(embedding, 1, 1 + vec_id % 5)", "list"), "longest": M.max_length("slice(embedding, 1, 1 + vec_id % 5)", "list")},
-    "min(len(embedding[1:1 + vec_id % 5]));max(len(embedding[1:1 + vec_id % 5]))",
+    {"shortest": M.min_length("slice(embedding, 1, 1 + label)", "list"), "longest": M.max_length("slice(embedding, 1, 1 + label)", "list")},
+    "min(len(embedding[1:1 + label]));max(len(embedding[1:1 + label]))",
 )
 _metric_query(
     "length_map",
@@ -491,9 +491,9 @@ def odcs_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register(
-    """with stored as (select date '2024-01-20' as date, 'm' || n_nationkey as metric, 'a' as dataset, cast(n_regionkey as double) as v from nation where n_nationkey % 3 <> 0),
-       analysed as (select date '2024-01-20' as date, 'm' || n_nationkey as metric, 'a' as dataset, 'x_' || n_nationkey as symbol, cast(n_regionkey as double) as v from nation where n_nationkey % 4 <> 0),
-       symbols as (select date '2024-01-20' as date, 'm' || n_nationkey as metric, 'a' as dataset, 'x_' || n_nationkey as symbol, cast(n_regionkey as double) as v from nation where n_nationkey % 5 <> 0)
+    """with stored as (select date '2024-01-20' as date, 'm' || n_nationkey as metric, 'a' as dataset, cast(n_regionkey as double) as v from nation where n_regionkey <> 1),
+       analysed as (select date '2024-01-20' as date, 'm' || n_nationkey as metric, 'a' as dataset, 'x_' || n_nationkey as symbol, cast(n_regionkey as double) as v from nation where n_regionkey <> 2),
+       symbols as (select date '2024-01-20' as date, 'm' || n_nationkey as metric, 'a' as dataset, 'x_' || n_nationkey as symbol, cast(n_regionkey as double) as v from nation where n_regionkey <> 3)
        select cast(coalesce(m.date, a.date) as varchar) as date, coalesce(m.metric, a.metric) as metric, a.symbol, 'sum' as type, 'a' as dataset, m.v as value_db, a.v as value_analysis, s.v as value_final
        from stored m full join analysed a on m.metric = a.metric left join symbols s on s.symbol = a.symbol and s.metric = coalesce(m.metric, a.metric)"""
 )
@@ -501,9 +501,9 @@ def metric_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store, analysis and symbols as one table."""
     nation = _read(spark, sf_dir, "nation").select(
         F.lit(DAY).alias("date"), F.concat(F.lit("m"), "n_nationkey").alias("metric"), F.concat(F.lit("x_"), "n_nationkey").alias("symbol"), F.lit("sum").alias("type"),
-        F.lit("a").alias("dataset"), F.col("n_regionkey").cast("double").alias("value"), F.lit(None).cast("string").alias("error"), F.lit("-").alias("tags"), F.lit(1.0).alias("data_av_ratio"), "n_nationkey",
+        F.lit("a").alias("dataset"), F.col("n_regionkey").cast("double").alias("value"), F.lit(None).cast("string").alias("error"), F.lit("-").alias("tags"), F.lit(1.0).alias("data_av_ratio"), "n_regionkey",
     )
-    parts = [nation.where(F.col("n_nationkey") % k != 0) for k in (3, 4, 5)]
+    parts = [nation.where(F.col("n_regionkey") != k) for k in (1, 2, 3)]  # each lacks a region
     return _rounded(trace_join(*parts)).select("date", "metric", "symbol", "type", "dataset", "value_db", "value_analysis", "value_final")
 
 
