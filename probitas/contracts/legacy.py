@@ -93,11 +93,11 @@ class ColumnSpec:
 
 @dataclass(frozen=True)
 class Contract:
+    dataset: str
     name: str
     version: str
-    description: str
     owner: str
-    dataset: str
+    description: str
     columns: tuple[ColumnSpec, ...]
     checks: tuple[ContractCheck, ...] = ()
     sla: ServiceLevel | None = None
@@ -143,10 +143,11 @@ class Contract:
             raise ContractValidationError(f"No valid YAML: {error}") from None
         if not isinstance(data, dict):
             raise ContractValidationError("A contract is a mapping")
-        for key in ("name", "version", "description", "owner", "dataset", "columns"):
+        needed = "name version description owner dataset columns".split()
+        for key in needed:
             if not data.get(key):
                 raise ContractValidationError(f"The contract has no {key}")
-        known = {"name", "version", "description", "owner", "dataset", "columns", "checks", "sla", "tags", "metadata"}
+        known = {*needed, "checks", "sla", "tags", "metadata"}
         if unknown := sorted(set(data) - known):
             raise ContractValidationError(f"Unknown field(s) {', '.join(unknown)}")
         if not isinstance(data["columns"], list):

@@ -207,17 +207,17 @@ def _latency(document: dict[str, Any], properties: list[Property], aliases: dict
             continue
         value = entry.get("value")
         if value is None:
-            _warn("SLA latency rule: it has no value; freshness check skipped")
+            _warn("SLA latency: it has no value, so freshness isn't checked")
             continue
         if isinstance(value, bool) or not isinstance(value, int | float) or value < 0:
             raise ContractValidationError(f"A latency is a number of at least 0, not {value!r}")
-        unit = str(entry.get("unit", "h")).lower()
+        unit = str(entry["unit"]).lower() if "unit" in entry else "h"
         if unit not in HOURS:
             raise ContractValidationError(f"Unknown unit of latency {entry.get('unit')!r}")
         column = str(entry["element"]).rsplit(".", 1)[-1].strip() if entry.get("element") else None
         column = aliases.get(column, column) or next((p.name for p in properties if p.partition_position == 1), None)
         if column is None:
-            _warn("SLA latency rule: no timestamp column could be resolved; freshness check skipped")
+            _warn("SLA latency: no timestamp column is named, so freshness isn't checked")
         else:
             found = Latency(value * HOURS[unit], column)
     return found

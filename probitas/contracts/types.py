@@ -35,7 +35,7 @@ SIMPLE: dict[str, tuple[type, ...]] = {
     "timestamp": (T.TimestampType, T.TimestampNTZType),
     "time": (T.StringType,),
 }
-CONTRACT_TYPES = ("int", "float", "bool", "string", "bytes", "date", "time", "decimal", "timestamp")
+CONTRACT_TYPES = tuple(name for name in SIMPLE if name != "number")
 
 
 @dataclass(frozen=True)

@@ -63,7 +63,7 @@ def _abs(x):
     return abs(x)
 
 
-def within_tol(a: float, b: float, rel_tol: float | None = None, abs_tol: float | None = None) -> bool:
+def within_tol(a: float, b: float, rel_tol=None, abs_tol=None) -> bool:
     """Whether a is near b, by exactly one of a relative and an absolute tolerance."""
     if (rel_tol is None) == (abs_tol is None):
         raise ValueError("Give exactly one of rel_tol and abs_tol")

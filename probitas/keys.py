@@ -10,7 +10,8 @@ from typing import Generic, TypeVar
 T = TypeVar("T")
 
 _TAG = re.compile(r"[A-Za-z0-9_-]+\Z")
-SEVERITIES = ("P0", "P1", "P2", "P3")
+SEVERITIES = tuple(f"P{level}" for level in range(4))
+Days = tuple[dt.date, dt.date]
 
 
 class ProbitasError(Exception):
@@ -27,7 +28,7 @@ class ResultKey:
     def lag(self, days: int) -> ResultKey:
         return ResultKey(self.yyyy_mm_dd - dt.timedelta(days=days), self.tags)
 
-    def range(self, lag: int, window: int) -> tuple[dt.date, dt.date]:
+    def range(self, lag: int, window: int) -> Days:
         """First and last day of the ``window`` days that end ``lag`` days before."""
         last = self.yyyy_mm_dd - dt.timedelta(days=lag)
         return last - dt.timedelta(days=window - 1), last

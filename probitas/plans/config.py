@@ -70,7 +70,7 @@ def _rule(data: dict, where: str) -> P.Rule:
 
 def _profile(data: dict, k: int) -> P.Profile:
     where = f"Profile {data.get('name', k + 1)}" if isinstance(data, dict) else f"Profile {k + 1}"
-    _only(data, {"name", "type", "start_date", "end_date", "rules"}, where)
+    _only(data, set("name type rules start_date end_date".split()), where)
     if not data.get("name"):
         raise ProbitasError(f"{where} has no name")
     rules = tuple(_rule(r, f"{where}, rule {i + 1}") for i, r in enumerate(data.get("rules") or ()))

@@ -29,9 +29,9 @@ class Selector:
 @dataclass(frozen=True)
 class Rule:
     selector: Selector
-    disabled: bool = False
-    metric_multiplier: float = 1.0
     severity: str | None = None
+    metric_multiplier: float = 1.0
+    disabled: bool = False
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ class RuleBuilder:
     def disable(self) -> Rule:
         return Rule(self.selector, disabled=True)
 
-    def set(self, *, metric_multiplier: float = 1.0, severity: str | None = None) -> Rule:
+    def set(self, *, severity: str | None = None, metric_multiplier: float = 1.0) -> Rule:
         if severity is not None and severity not in SEVERITIES:
             raise ValueError(f"{severity!r} is no severity")
         return Rule(self.selector, metric_multiplier=metric_multiplier, severity=severity)

@@ -16,7 +16,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, TypedDict, Unpack
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,6 +80,14 @@ class Symbol:
     check: str | None = None
 
 
+class Scope(TypedDict, total=False):
+    """Of which day, dataset and rows a metric is: days back, the dataset's name, and row filters."""
+
+    lag: int
+    dataset: str | None
+    parameters: dict[str, Any] | None
+
+
 class MetricProvider:
     """Hands out symbols for metrics; equal metrics of one dataset and lag share a symbol."""
 
@@ -88,7 +96,7 @@ class MetricProvider:
         self.ext = Extended(self)
         self.current: str | None = None
 
-    def metric(self, spec: Any, lag: int = 0, dataset: str | None = None) -> Ref:
+    def metric(self, spec: Any, lag=0, dataset=None) -> Ref:
         if lag < 0:
             raise ValueError("A lag can't be negative")
         for s in self.symbols.values():
@@ -98,37 +106,37 @@ class MetricProvider:
         self.symbols[name] = Symbol(name, spec, lag, dataset, self.current)
         return Ref(name)
 
-    def _simple(self, spec: M.Metric, lag: int, dataset: str | None, parameters: dict[str, Any] | None) -> Ref:
+    def _simple(self, spec: M.Metric, lag=0, dataset=None, parameters=None) -> Ref:
         return self.metric(spec.with_parameters(parameters), lag, dataset)
 
-    def num_rows(self, lag: int = 0, dataset: str | None = None, parameters: dict[str, Any] | None = None) -> Ref:
-        return self._simple(M.num_rows(), lag, dataset, parameters)
+    def num_rows(self, **scope: Unpack[Scope]) -> Ref:
+        return self._simple(M.num_rows(), **scope)
 
-    def first(self, column: str, order_by: str | None = None, lag: int = 0, dataset: str | None = None, parameters: dict[str, Any] | None = None) -> Ref:
-        return self._simple(M.first(column, order_by), lag, dataset, parameters)
+    def first(self, column: str, order_by: str | None = None, **scope: Unpack[Scope]) -> Ref:
+        return self._simple(M.first(column, order_by), **scope)
 
-    def duplicate_count(self, columns: list[str], lag: int = 0, dataset: str | None = None, parameters: dict[str, Any] | None = None) -> Ref:
-        return self._simple(M.duplicate_count(columns), lag, dataset, parameters)
+    def duplicate_count(self, columns: list[str], **scope: Unpack[Scope]) -> Ref:
+        return self._simple(M.duplicate_count(columns), **scope)
 
-    def count_values(self, column: str, values: Any, lag: int = 0, dataset: str | None = None, parameters: dict[str, Any] | None = None) -> Ref:
-        return self._simple(M.count_values(column, values), lag, dataset, parameters)
+    def count_values(self, column: str, values: Any, **scope: Unpack[Scope]) -> Ref:
+        return self._simple(M.count_values(column, values), **scope)
 
-    def min_length(self, column: str, type: str = "string", lag: int = 0, dataset: str | None = None, parameters: dict[str, Any] | None = None) -> Ref:
-        return self._simple(M.min_length(column, type), lag, dataset, parameters)
+    def min_length(self, column: str, type: str = "string", **scope: Unpack[Scope]) -> Ref:
+        return self._simple(M.min_length(column, type), **scope)
 
-    def max_length(self, column: str, type: str = "string", lag: int = 0, dataset: str | None = None, parameters: dict[str, Any] | None = None) -> Ref:
-        return self._simple(M.max_length(column, type), lag, dataset, parameters)
+    def max_length(self, column: str, type: str = "string", **scope: Unpack[Scope]) -> Ref:
+        return self._simple(M.max_length(column, type), **scope)
 
-    def null_rate(self, column: str, lag: int = 0, dataset: str | None = None, parameters: dict[str, Any] | None = None) -> Expr:
-        return self.null_count(column, lag, dataset, parameters) / self.num_rows(lag, dataset, parameters)
+    def null_rate(self, column: str, **scope: Unpack[Scope]) -> Expr:
+        return self.null_count(column, **scope) / self.num_rows(**scope)
 
     def get(self, ref: Ref) -> Symbol:
         return self.symbols[ref.name]
 
 
 def _column_metric(make: Callable[[str], M.Metric]):
-    def method(self: MetricProvider, column: str, lag: int = 0, dataset: str | None = None, parameters: dict[str, Any] | None = None) -> Ref:
-        return self._simple(make(column), lag, dataset, parameters)
+    def method(self: MetricProvider, column: str, **scope: Unpack[Scope]) -> Ref:
+        return self._simple(make(column), **scope)
 
     return method
 
@@ -153,19 +161,19 @@ class Extended:
     def __init__(self, provider: MetricProvider):
         self.provider = provider
 
-    def _trend(self, of: Ref, kind: str, lag: int, dataset: str | None, offset: int = 0, n: int = 0) -> Ref:
+    def _trend(self, of: Ref, kind: str, lag=0, dataset=None, offset=0, n=0) -> Ref:
         base = self.provider.get(of)
         if dataset is not None and base.dataset not in (None, dataset):
             raise ProbitasError(f"{kind} of dataset {dataset!r} over a metric of {base.dataset!r}")
         return self.provider.metric(Trend(kind, base.spec, offset, n), lag + base.lag, dataset or base.dataset)
 
-    def day_over_day(self, metric: Ref, lag: int = 0, dataset: str | None = None) -> Ref:
+    def day_over_day(self, metric: Ref, lag=0, dataset=None) -> Ref:
         return self._trend(metric, "day_over_day", lag, dataset)
 
-    def week_over_week(self, metric: Ref, lag: int = 0, dataset: str | None = None) -> Ref:
+    def week_over_week(self, metric: Ref, lag=0, dataset=None) -> Ref:
         return self._trend(metric, "week_over_week", lag, dataset)
 
-    def stddev(self, metric: Ref, offset: int, n: int, dataset: str | None = None) -> Ref:
+    def stddev(self, metric: Ref, offset: int, n: int, dataset=None) -> Ref:
         if n < 1 or offset < 0:
             raise ValueError("stddev needs n of at least 1 and an offset of at least 0")
         return self._trend(metric, "stddev", 0, dataset, offset, n)
@@ -667,8 +675,9 @@ class VerificationSuite:
     def get_param(self, name: str) -> Any:
         return self._tunable(name).value
 
-    def set_param(self, name: str, value: Any, agent: str = "human", reason: str | None = None) -> None:
-        self._tunable(name).set(value, agent, reason)
+    def set_param(self, name: str, value: Any, **note: Any) -> None:
+        """note: agent and reason, for the history."""
+        self._tunable(name).set(value, **note)
 
     def get_param_history(self, name: str) -> list[TunableChange]:
         return list(self._tunable(name).history)

@@ -37,7 +37,7 @@ class Tunable:
     def validate(self, value: Any) -> None:
         raise NotImplementedError
 
-    def set(self, value: Any, agent: str = "human", reason: str | None = None) -> None:
+    def set(self, value: Any, agent="human", reason=None) -> None:
         self.validate(value)
         self.history.append(TunableChange(self._value, value, agent, reason))
         self._value = value

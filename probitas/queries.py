@@ -29,7 +29,8 @@ from probitas.sources.store import latest
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-DAY = dt.date(2024, 1, 20)
+_day = dt.date.fromisoformat
+DAY = _day("2024-01-20")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -135,7 +136,7 @@ def _days(first: dt.date, last: dt.date) -> list[dt.date]:
     return [first + dt.timedelta(days=k) for k in range((last - first).days + 1)]
 
 
-JANUARY = _days(dt.date(2024, 1, 1), dt.date(2024, 1, 30))
+JANUARY = _days(_day("2024-01-01"), _day("2024-01-30"))
 _DAILY = "select cast(ts as date) as date, sum(value) as v from events group by 1"
 
 
@@ -159,7 +160,7 @@ def daily_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_with_missing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days without rows have a row: counts are 0, the longest length -inf, the rest null."""
     metrics = {"n": M.num_rows(), "total": M.total("value"), "longest": M.max_length("event_type")}
-    return _rounded(Planner(_events(spark, sf_dir)).table(_days(dt.date(2024, 1, 27), dt.date(2024, 2, 2)), metrics))
+    return _rounded(Planner(_events(spark, sf_dir)).table(_days(_day("2024-01-27"), _day("2024-02-02")), metrics))
 
 
 def _daily_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +233,7 @@ def expression_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
        from range(date '2024-01-28', date '2024-02-02', interval 1 day) d(day) left join events e on cast(e.ts as date) = d.day group by 1"""
 )
 def coalesce_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = Planner(_events(spark, sf_dir)).table(_days(dt.date(2024, 1, 28), dt.date(2024, 2, 1)), {"v": M.total("value")})
+    frame = Planner(_events(spark, sf_dir)).table(_days(_day("2024-01-28"), _day("2024-02-01")), {"v": M.total("value")})
     return _rounded(frame.select("date", coalesce(Ref("v"), -1.0).column({"v": F.col("v")}).alias("total")))
 
 
@@ -341,7 +342,7 @@ def profile_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     yesterday = DAY - dt.timedelta(days=1)
     before = Planner(source).run([(yesterday, M.num_rows())])[yesterday, M.num_rows()].value
     rules = [P.tag("volume").set(metric_multiplier=2.0, severity="P3"), P.check("Off").disable()]
-    suite = VerificationSuite([volume, off], MemoryStore(), "Profiles", profiles=[P.SeasonalProfile("January", dt.date(2024, 1, 1), dt.date(2024, 1, 31), rules)])
+    suite = VerificationSuite([volume, off], MemoryStore(), "Profiles", profiles=[P.SeasonalProfile("January", _day("2024-01-01"), _day("2024-01-31"), rules)])
     suite.run([source], ResultKey(DAY))
     return _results(suite, spark)
 

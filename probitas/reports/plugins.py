@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import importlib
 import logging
+import operator
 import threading
 import time
 from collections import Counter
@@ -41,10 +42,11 @@ class PluginContext:
     symbols: tuple[Any, ...]
 
     def by_status(self) -> dict[str, int]:
-        return dict(Counter(r.status for r in self.results))
+        return dict(Counter(map(operator.attrgetter("status"), self.results)))
 
     def failures_by_severity(self) -> dict[str, int]:
-        return dict(Counter(r.severity for r in self.results if r.status == "FAILED"))
+        failed = [r for r in self.results if r.status == "FAILED"]
+        return dict(Counter(map(operator.attrgetter("severity"), failed)))
 
     def pass_rate(self) -> float:
         """Passed among those that were evaluated; 1 if none was."""

@@ -40,7 +40,7 @@ def symbol_table(symbols: Iterable[Any]) -> str:
 
 
 def trace_table(trace: Any, threshold: float | None = None) -> str:
-    columns = ("date", "metric", "symbol", "type", "dataset", "value_db", "value_analysis", "value_final", "error", "tags", "data_av_ratio")
+    columns = "date metric symbol type dataset value_db value_analysis value_final error tags data_av_ratio".split()
     rows = trace.orderBy("date", "metric", "symbol").collect()
     marked = [[f"{r[c]:.2f} low" if c == "data_av_ratio" and r[c] is not None and threshold is not None and r[c] < threshold else r[c] for c in columns] for r in rows]
     return render(columns, marked, "Metric trace")

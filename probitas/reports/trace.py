@@ -17,7 +17,7 @@ SYMBOLS = "date date, symbol string, metric string, dataset string, value double
 
 
 def tags_text(tags: dict[str, str] | None) -> str:
-    return ", ".join(f"{k}={v}" for k, v in sorted((tags or {}).items())) or "-"
+    return ", ".join(map("=".join, sorted((tags or {}).items()))) or "-"
 
 
 def metrics_frame(spark: SparkSession, rows: list[StoredMetric]) -> DataFrame:
