@@ -7,7 +7,9 @@ rows only, so one very long text is one piece.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,10 +38,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint, which outlives the executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint, which outlives the executors.
+
+    The shuffle files behind it are of no use from then on.  Spark removes them when their owners
+    are found to be garbage, on the driver's Python side and then in its JVM; with ``free`` both
+    are asked to look now, which takes half a second.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint()
+    if free:
+        del df
+        gc.collect()
+        for _ in range(2):  # references from Python are given up behind the first
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -175,7 +175,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     distinct = cut(
         lines.groupBy("key", "check").agg(
             F.min(_at()).alias("at"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), *(F.min(h).alias(h) for h in _HALVES)
-        )
+        ),
+        free=True,
     )
     halves = distinct.where(F.col("n") >= NEAR_WORDS).select("at", F.explode(F.array_compact(F.array(*_HALVES))).alias("half"))
     shared = (
@@ -188,7 +189,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     candidates = cut(
         shared.join(source, ["doc_id", "row_key"])
         .select("doc_id", "row_key", F.inline(F.filter(numbered, lambda x: F.array_contains("numbers", x["line_no"]))))
-        .select(_at(), "line")
+        .select(_at(), "line"),
+        free=True,
     )
     neighbours = candidates.mapInArrow(_neighbours, f"at {_AT}, n int, pos int, neighbour bigint")
     bucket = Window.partitionBy("neighbour")
@@ -241,7 +243,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     it is, also where it is null or empty or the doc_id is null.  Rows and columns are otherwise
     unchanged, repeated rows included.
     """
-    gone = repeated_lines(docs).groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("gone"))
+    gone = cut(repeated_lines(docs).groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("gone")), free=True)
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("row_key"))
     lines = F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains("gone", i))
     joined = keyed.join(gone, ["doc_id", "row_key"], "left").withColumn("lines", F.when(F.col("gone").isNotNull(), lines))
