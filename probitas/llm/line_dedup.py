@@ -23,7 +23,7 @@ links grows linearly with the lines, whatever a bucket's size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ from .common import (
     signed,
     solid_bytes,
     span_hashes,
+    table,
     with_row_key,
     words,
 )
@@ -170,13 +171,17 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     is dropped of one is dropped of all.  Ties can't occur between distinct lines.  Columns
     other than doc_id and text are ignored, whatever their names.  An empty table gives no rows.
     """
+    return _repeated_lines(docs)[0]
+
+
+def _repeated_lines(docs: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``repeated_lines``, and a function that removes the table that it reads."""
     source = with_row_key(docs, F.lower("text").alias("text"))
     lines = source.mapInArrow(_line_keys, _KEYS)
-    distinct = cut(
+    distinct, remove = table(
         lines.groupBy("key", "check").agg(
             F.min(_at()).alias("at"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), *(F.min(h).alias(h) for h in _HALVES)
-        ),
-        free=True,
+        )
     )
     halves = distinct.where(F.col("n") >= NEAR_WORDS).select("at", F.explode(F.array_compact(F.array(*_HALVES))).alias("half"))
     shared = (
@@ -220,7 +225,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         .where((F.col("copies") > 1) | F.col("near").isNotNull())
         .select("key", "check", F.coalesce("near", "at").alias("kept"), F.col("near").isNotNull().cast("int").alias("edits"))
     )
-    return (
+    found = (
         lines.select("key", "check", _at())
         .join(keepers, ["key", "check"])
         .where("at <> kept")
@@ -233,6 +238,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         )
         .distinct()
     )
+    return found, remove
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -243,7 +249,9 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     it is, also where it is null or empty or the doc_id is null.  Rows and columns are otherwise
     unchanged, repeated rows included.
     """
-    gone = cut(repeated_lines(docs).groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("gone")), free=True)
+    repeated, remove = _repeated_lines(docs)
+    gone = cut(repeated.groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("gone")), free=True)
+    remove()
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("row_key"))
     lines = F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains("gone", i))
     joined = keyed.join(gone, ["doc_id", "row_key"], "left").withColumn("lines", F.when(F.col("gone").isNotNull(), lines))
