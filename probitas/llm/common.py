@@ -173,7 +173,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
 def word_bytes(data: np.ndarray) -> np.ndarray:
     """True for the bytes of letters and digits; general punctuation and Latin-1 signs beyond ASCII are False."""
     inside = _ALNUM[data]
-    if len(data) > 2:
+    if len(data) > 1:
         sign = np.flatnonzero((data[:-2] == 0xE2) & ((data[1:-1] == 0x80) | (data[1:-1] == 0x81)))
         for step in range(3):
             inside[sign + step] = False
