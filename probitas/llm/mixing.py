@@ -83,7 +83,8 @@ def mixture(
     chosen = (
         streams.select("shard", "source", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
         .withColumn("pick", F.row_number().over(Window.partitionBy("shard", "source").orderBy(pick, "block")))
-        .join(quotas.withColumnsRenamed({"shard": "q_shard", "source": "q_source"}), F.col("shard").eqNullSafe(F.col("q_shard")) & F.col("source").eqNullSafe(F.col("q_source")))
+        # the quotas grow with the number of shards, so they are never sent to every executor
+        .join(quotas.withColumnsRenamed({"shard": "q_shard", "source": "q_source"}).hint("merge"), F.col("shard").eqNullSafe(F.col("q_shard")) & F.col("source").eqNullSafe(F.col("q_source")))
         .where("pick <= quota")
         .select(F.col("shard").alias("c_shard"), F.col("source").alias("c_source"), F.col("block").alias("c_block"))
     )
