@@ -6,13 +6,12 @@ Each stage works on all that the stage before it kept.  All but the last return
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from probitas.llm import quality_rules as rules
-from probitas.llm.common import checkpoint_dir, read
+from probitas.llm.common import read, table
 from probitas.llm.decontamination import drop_contaminated
 from probitas.llm.line_dedup import drop_repeated_lines
 from probitas.llm.mixing import mixture
@@ -61,11 +60,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture made from ``documents``.
 
     Each stage's result is written as Parquet to the shared checkpoint folder and read again,
-    so a lost executor costs no earlier stage.
+    so a lost executor costs no earlier stage.  A table is removed when the next one is there,
+    the last one when the session ends.
     """
-    folder = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4()}"
-    docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs, done = read(spark, sf_dir, "documents"), lambda: None
+    for _, stage in STAGES:
+        kept, remove = table(stage(spark, docs, sf_dir))
+        done()
+        docs, done = kept, remove
     return docs
