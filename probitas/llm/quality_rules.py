@@ -139,18 +139,19 @@ class Field:
     def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.15, penalty: float = 1e-5) -> Field:
         """Maximise the penalised conditional likelihood of (features, labels) sequences with Adam."""
         longest = max(len(y) for _, y in sequences)
-        x = np.full((len(sequences), longest, sequences[0][0].shape[1]), FEATURES)
+        x = np.concatenate([features for features, _ in sequences])
         y = np.zeros((len(sequences), longest), dtype=int)
         there = np.zeros((len(sequences), longest), dtype=bool)
-        for k, (features, labels) in enumerate(sequences):
-            x[k, : len(labels)], y[k, : len(labels)], there[k, : len(labels)] = features, labels, True
+        for k, (_, labels) in enumerate(sequences):
+            y[k, : len(labels)], there[k, : len(labels)] = labels, True
         both = there[:, 1:] & there[:, :-1]
         weights = np.concatenate([self.emission, self.transition.ravel()])
         first = second = np.zeros_like(weights)
         total = there.sum()
         for step in range(1, steps + 1):
             emission, transition = weights[: FEATURES + 1], weights[FEATURES + 1 :].reshape(2, 2)
-            score = np.stack([np.zeros_like(there, dtype=float), emission[x].sum(axis=2)], axis=2)
+            score = np.zeros((*there.shape, 2))
+            score[there, 1] = emission[x].sum(axis=1)  # the lines of x are in the order of there
             forward = np.zeros_like(score)
             backward = np.zeros_like(score)
             forward[:, 0] = score[:, 0]
@@ -163,9 +164,9 @@ class Field:
                 backward[:, t] = np.where(there[:, t + 1, None], goes, 0.0)
             whole = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
             content = np.exp(forward[:, :, 1] + backward[:, :, 1] - whole[:, None])
-            away = np.where(there, y - content, 0.0)
+            away = (y - content)[there]
             gradient = np.zeros_like(weights)
-            gradient[: FEATURES + 1] = np.bincount(x.ravel(), weights=np.repeat(away.ravel(), x.shape[2]), minlength=FEATURES + 1)
+            gradient[: FEATURES + 1] = np.bincount(x.ravel(), weights=np.repeat(away, x.shape[1]), minlength=FEATURES + 1)
             gradient[FEATURES] = 0.0
             for i in range(2):
                 for j in range(2):
