@@ -8,11 +8,14 @@ DeBlasio, Pandey, Kingsford, Locality-sensitive hashing for the edit distance, 2
 that share many k-mers in another order don't collide, which is what makes the sketch
 sensitive to edit similarity rather than to set similarity.
 
-Texts with a common sketch are candidates.  A bucket of one sketch links each text to the
-smallest id and to its neighbour by length, so the number of candidates is linear in the
-number of texts for any size of bucket; as verified pairs are then closed transitively, large
-groups of copies need no more.  Candidates are verified by the exact word edit distance,
-computed bit-parallel inside the band that ``THRESHOLD`` permits.
+Texts with a common sketch are candidates, verified by the exact word edit distance, computed
+bit-parallel inside the band that ``THRESHOLD`` permits.  A bucket of one sketch first links each
+text to the smallest id and to its neighbour by length, and verified links are closed
+transitively; large groups of copies need no more.  Then all members of a bucket that are still
+in different groups are compared.  In a bucket of more than ``HOT`` members only those that
+also share one of their rarest words are: within the bound two texts share so many words that
+this loses no pair (prefix filtering).  Large groups are compared block against block, so no
+task holds one.
 """
 
 from __future__ import annotations
@@ -31,12 +34,28 @@ K = 3
 L = 2
 SKETCHES = 20
 THRESHOLD = 0.75
+#: Members of a bucket from which on it is split by rare words, and members of a block.
+HOT = 200
+BLOCK = 500
 
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _SHORT_INV = _U(pow(int(BASE2), -1, 1 << 64))
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
 
 
+def occurrences(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each one in its row."""
+    own = values + row.astype(np.uint64) * BASE2
+    order = np.argsort(own, kind="stable")
+    ranked = own[order]
+    fresh = np.ones(len(own), dtype=bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    runs = np.flatnonzero(fresh)
+    occurrence = np.empty(len(own), dtype=np.uint64)
+    occurrence[order] = (np.arange(len(own)) - np.repeat(runs, np.diff(np.append(runs, len(own))))).astype(np.uint64)
+    return occurrence
+
+
 def kmers(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each k-mer, hash of each labelled k-mer, and the first k-mer of each row, with the end.
 
@@ -49,15 +68,7 @@ def kmers(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.arange(len(row)) - offsets[row] + found.offsets[row]
     end = np.minimum(start + K, found.offsets[row + 1])
     kmer = span_hashes(prefix_sums(found.hash), start, end)
-    own = kmer + row.astype(np.uint64) * BASE2
-    order = np.argsort(own, kind="stable")
-    ranked = own[order]
-    fresh = np.ones(len(own), dtype=bool)
-    fresh[1:] = ranked[1:] != ranked[:-1]
-    runs = np.flatnonzero(fresh)
-    occurrence = np.empty(len(own), dtype=np.uint64)
-    occurrence[order] = (np.arange(len(own)) - np.repeat(runs, np.diff(np.append(runs, len(own))))).astype(np.uint64)
-    return kmer, mix(kmer + occurrence * BASE2), offsets
+    return kmer, mix(kmer + occurrences(kmer, row) * BASE2), offsets
 
 
 def sketches(kmer: np.ndarray, labelled: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -203,6 +214,57 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 _AT = "struct<doc_id: bigint, row_key: bigint>"
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word arrays to their words, told apart by occurrence."""
+    for batch in batches:
+        data = [np.frombuffer(v.as_buffer(), dtype="<u4").astype(np.uint64) for v in batch.column(1)]
+        tokens = [mix(x + occurrences(x, np.zeros(len(x), np.int64)) * BASE2) for x in data]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), signed(np.concatenate([*tokens, np.zeros(0, np.uint64)])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["at", "tokens"])
+
+
+def _rarest(arrays: DataFrame, threshold: float) -> DataFrame:
+    """(at, token): the rarest words of each text, one of which any two texts within the bound share.
+
+    Texts of n and m words within the bound share at least threshold * max(n, m) words, so not all
+    of the rarest n - threshold * n + 1 of one can be missing among those of the other.
+    """
+    tokens = cut(arrays.mapInArrow(_tokens, f"at {_AT}, tokens array<bigint>").select("at", F.size("tokens").alias("n"), F.explode("tokens").alias("token")))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
+    place = F.row_number().over(Window.partitionBy("at").orderBy("texts", "token"))
+    return tokens.join(often, "token").withColumn("place", place).where(F.col("place") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1).select("at", "token")
+
+
+def _across(members: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(a, b) of all members (at, n, root) of a group with the same keys that have different roots, block against block."""
+    group = Window.partitionBy(*keys)
+    rows = (
+        members.withColumn("blocks", F.ceil(F.count(F.lit(1)).over(group) / BLOCK))
+        .withColumn("block", F.pmod(F.xxhash64("at"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    )
+    side = lambda x: F.struct("at", "n", "root").alias(x)
+    left = rows.where("block <= other").select(*keys, F.col("block").alias("i"), F.col("other").alias("j"), side("x"))
+    right = rows.where("other <= block").select(*keys, F.col("other").alias("i"), F.col("block").alias("j"), side("y"))
+    return (
+        left.join(right, [*keys, "i", "j"])
+        .where("x.root <> y.root and (i < j or x.at < y.at)")
+        .where(F.abs(F.col("x.n") - F.col("y.n")) <= (1 - threshold) * F.greatest("x.n", "y.n") + 1e-9)
+        .select(F.greatest("x.at", "y.at").alias("a"), F.least("x.at", "y.at").alias("b"))
+        .distinct()
+    )
+
+
+def _verified(pairs: DataFrame, arrays: DataFrame, threshold: float) -> DataFrame:
+    return (
+        pairs.join(arrays.select(F.col("at").alias("a"), F.col("words").alias("x")), "a")
+        .join(arrays.select(F.col("at").alias("b"), F.col("words").alias("y")), "b")
+        .select("a", "b", "x", "y")
+        .mapInArrow(lambda batches: _verify(batches, threshold), f"a {_AT}, b {_AT}")
+    )
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that have a smaller near duplicate, with the one document of the group that stays.
 
@@ -231,31 +293,42 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     bucket = Window.partitionBy("sketch")
     beside = Window.partitionBy("sketch").orderBy("n", "at")
-    pairs = (
+    members = cut(
         distinct.select("at", "n", F.explode("sketches").alias("sketch"))
-        .select("at", "n", F.min(F.struct("at", "n")).over(bucket).alias("first"), F.lag(F.struct("at", "n")).over(beside).alias("next"))
+        .withColumn("size", F.count(F.lit(1)).over(bucket))
+        .where("size > 1"),
+        free=True,
+    )
+    pairs = cut(
+        members.select("at", "n", F.min(F.struct("at", "n")).over(bucket).alias("first"), F.lag(F.struct("at", "n")).over(beside).alias("next"))
         .select("at", "n", F.explode(F.array("first", "next")).alias("other"))
         .where("other.at <> at")
         .where(F.abs(F.col("n") - F.col("other.n")) <= (1 - threshold) * F.greatest("n", "other.n") + 1e-9)
         .select(F.greatest("at", "other.at").alias("a"), F.least("at", "other.at").alias("b"))
         .distinct()
     )
-    pairs = cut(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct()
     arrays = cut(
-        nodes.select("at.*", "at")
+        members.select("at").distinct()
+        .select("at.*", "at")
         .join(source, ["doc_id", "row_key"])
         .dropDuplicates(["doc_id", "row_key"])
         .select("at", "text")
-        .mapInArrow(_word_arrays, f"at {_AT}, words binary")
-    )
-    verified = (
-        pairs.join(arrays.select(F.col("at").alias("a"), F.col("words").alias("x")), "a")
-        .join(arrays.select(F.col("at").alias("b"), F.col("words").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(lambda batches: _verify(batches, threshold), f"a {_AT}, b {_AT}")
+        .mapInArrow(_word_arrays, f"at {_AT}, words binary"),
+        free=True,
     )
-    found = components(same.unionByName(verified))
+    found = components(same.unionByName(_verified(pairs, arrays, threshold)))
+    # what the links left in different groups
+    grouped = members.where("size > 2").join(found.select(F.col("node").alias("at"), "root"), "at", "left").withColumn("root", F.coalesce("root", "at"))
+    mixed = cut(grouped.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low <> high").select("at", "n", "root", "sketch", "size"))
+    rest = _across(mixed.where(F.col("size") <= HOT), ["sketch"], threshold)
+    hot = mixed.where(F.col("size") > HOT)
+    if not hot.isEmpty():
+        rare = _rarest(arrays.join(hot.select("at").distinct(), "at"), threshold)
+        rest = rest.unionByName(_across(cut(hot.join(rare, "at")), ["sketch", "token"], threshold)).distinct()
+    rest = cut(rest.join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = components(links.unionByName(_verified(rest, arrays, threshold)))
     return found.where("node <> root").select("node.*", F.col("root.doc_id").alias("kept_doc_id"), F.col("root.row_key").alias("kept_row_key"))
 
 

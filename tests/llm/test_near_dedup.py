@@ -98,6 +98,25 @@ def test_large_group_and_empty_table(make, prose):
     assert near_duplicates(make([])).collect() == []
 
 
+def test_passage_in_many_documents(make, prose):
+    rnd = random.Random(4)
+    passage = prose(70, 1)
+    rows = []
+    for k in range(150):
+        own = " ".join(f"w{rnd.randrange(2000)}" for _ in range(30))
+        rows += [(len(rows), f"{passage} {own}"), (len(rows) + 1, f"{passage} {changed(own, 0.2, rnd)}")]
+    rnd.shuffle(rows)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    words = [t.split() for _, t in rows]
+    bound = lambda i, j: allowed_edits(max(len(words[i]), len(words[j])), THRESHOLD)
+    # all but the passage decides
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if distance(words[i][70:], words[j][70:]) <= bound(i, j)]
+    found = groups(make(rows))
+    assert len(close) >= 150
+    assert sum(found.get(i, i) == found.get(j, j) for i, j in close) >= 0.99 * len(close)
+    assert len(found) <= 160
+
+
 def test_components_of_a_path(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (5, 5)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
