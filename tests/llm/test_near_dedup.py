@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from probitas.llm.common import pieces, words
 from probitas.llm.components import components
-from probitas.llm.near_dedup import THRESHOLD, allowed_edits, banded_distance, drop_near_duplicates, near_duplicates
+from probitas.llm.near_dedup import THRESHOLD, allowed_edits, banded_distance, drop_near_duplicates, kmers, near_duplicates, sketches
 
 
 def distance(a, b):
@@ -72,6 +74,20 @@ def test_recall_against_brute_force(make, prose):
     assert all(top(a) == top(b) for a, b in found.items())
 
 
+def test_pairs_at_the_threshold_collide():
+    rnd = random.Random(6)
+    texts = []
+    for k in range(600):
+        a = [f"v{rnd.randrange(5000)}" for _ in range(200)]
+        b = list(a)
+        for i in rnd.sample(range(200), rnd.randint(40, 50)):
+            b[i] = f"x{rnd.randrange(99999)}"
+        texts += [" ".join(a), " ".join(b)]
+    [(_, _, piece)] = pieces(pa.array(texts), 1 << 24)
+    table = sketches(*kmers(words(piece)))
+    assert (table[::2] == table[1::2]).any(axis=1).mean() >= 0.95
+
+
 def test_order_matters(make, prose):
     text = prose(120, 1).split()
     shuffled = sorted(text)
