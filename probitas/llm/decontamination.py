@@ -13,8 +13,12 @@ isn't.
 - name: capitalised words within a sentence that aren't among ``PLAIN``, and given names of
   ``NAMES`` anywhere; a run of them is one name.
 
+Beside that, plain windows of words in lower case without placeholders are joined in the same
+way, so a copy word for word is found in any case and wrapping; the pass with the larger
+coverage counts.  In the tables the sizes of plain windows are negative.
+
 An item contaminates a text if at least ``COVERAGE`` of the item's windows are matched.
-Windows with fewer than half literal words aren't used.  Items of fewer than ``WINDOW`` words
+Template windows with fewer than half literal words aren't used; plain ones all are.  Items of fewer than ``WINDOW`` words
 are one window of their own size; items of fewer than ``LEAST`` words aren't searched for.
 """
 
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -83,16 +88,19 @@ def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[at] == x
 
 
-def templates(piece: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template word, kind and value of each word or slot, and the first of each row with the end."""
+def templates(piece: Pieces, plain_words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template word, kind and value of each word or slot, and the first of each row with the end.
+
+    With ``plain_words`` every word is a literal, whatever its case and the signs around it.
+    """
     data = piece.data
     digit = _DIGIT[data]
     glued = np.flatnonzero(digit[:-1] & ~digit[1:]) + 1
     low = lowered(data)
     found = words(piece, low=low, breaks=glued)
     n = len(found.hash)
-    if not n:
-        return found.hash, np.zeros(0, np.int8), found.hash, found.offsets
+    if not n or plain_words:
+        return found.hash, np.zeros(n, np.int8), found.hash, found.offsets
     numbers, units, names, plain = _lists()
     start, end = found.start, found.end
     digits = np.concatenate([[0], np.cumsum(digit)])
@@ -140,8 +148,8 @@ def _lists_of(values: np.ndarray, start: np.ndarray, size: int) -> pa.Array:
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, piece in pieces(batch.column(2)):
-            template, kind, value, offsets = templates(piece)
+        for (i, j, piece), sign in product(pieces(batch.column(2)), (1, -1)):
+            template, kind, value, offsets = templates(piece, sign < 0)
             count = np.diff(offsets)
             sizes = np.minimum(count, WINDOW)
             for size in np.unique(sizes[sizes >= LEAST]).tolist():
@@ -155,7 +163,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     [
                         batch.column(0).slice(i, j - i).take(rows),
                         batch.column(1).slice(i, j - i).take(rows),
-                        pa.array(np.full(len(row), size, dtype=np.int32)),
+                        pa.array(np.full(len(row), sign * size, dtype=np.int32)),
                         signed(key),
                         pa.array((start - offsets[row]).astype(np.int32)),
                         pa.array(total.astype(np.int32)),
@@ -179,8 +187,10 @@ def _text_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], sent) ->
         marks[known & _U(_BITS - 1)] = True
     for batch in batches:
         for i, j, piece in pieces(batch.column(2)):
-            template, _, value, offsets = templates(piece)
-            for size in sizes:
+            kinds = {plain: templates(piece, plain) for plain in {s < 0 for s in sizes}}
+            for signed_size in sizes:
+                template, _, value, offsets = kinds[signed_size < 0]
+                size = abs(signed_size)
                 row, start, key = _windows(template, offsets, size)
                 if known is not None:
                     maybe = np.flatnonzero(marks[key & _U(_BITS - 1)])
@@ -193,7 +203,7 @@ def _text_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], sent) ->
                     [
                         batch.column(0).slice(i, j - i).take(rows),
                         batch.column(1).slice(i, j - i).take(rows),
-                        pa.array(np.full(len(row), size, dtype=np.int32)),
+                        pa.array(np.full(len(row), signed_size, dtype=np.int32)),
                         signed(key),
                         pa.array((start - offsets[row]).astype(np.int32)),
                         _lists_of(value.view(np.int64), start, size),
@@ -229,11 +239,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     slots = F.filter(F.arrays_zip("kinds", "item_values", "values"), lambda s: s["kinds"] > 0)
     different = lambda *fields: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kinds"], *(s[f] for f in fields)))))
     return (
-        found.groupBy("doc_id", "row_key", "item_id", "item_key", "total", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+        found.groupBy("doc_id", "row_key", "item_id", "item_key", (F.col("size") < 0).alias("plain"), "total", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
         .agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))
         .where((F.size("slots") == different("item_values")) & (F.size("slots") == different("values")))
         .select("*", F.forall("slots", lambda s: s["item_values"] == s["values"]).alias("same"))
-        .groupBy("doc_id", "row_key", "item_id", "item_key", "total")
+        .groupBy("doc_id", "row_key", "item_id", "item_key", "plain", "total")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("windows"), F.min("same").alias("verbatim"))
         .withColumn("coverage", F.round(F.col("windows") / F.col("total"), 6))
         .where(F.col("coverage") >= coverage)

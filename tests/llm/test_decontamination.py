@@ -45,6 +45,11 @@ def test_copies_and_new_parameters(make, items, prose):
     assert pairs(df, bench, most_sent=0) == found
 
 
+def test_copies_in_other_case_and_wrapping(make, items):
+    rows = [(1, ITEM.upper()), (2, ITEM.replace(" ", "\n").upper()), (3, ITEM.lower())]
+    assert pairs(make(rows), items([(7, ITEM)])) == {(k, 7): (1.0, True) for k in (1, 2, 3)}
+
+
 def test_edge_cases(make, items, prose):
     short = "what is seven plus nine"
     long = prose(40_000, 8) + " " + ITEM
