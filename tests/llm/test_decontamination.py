@@ -50,6 +50,12 @@ def test_copies_in_other_case_and_wrapping(make, items):
     assert pairs(make(rows), items([(7, ITEM)])) == {(k, 7): (1.0, True) for k in (1, 2, 3)}
 
 
+def test_items_without_literal_words(make, items):
+    sums, names = "12 plus 35 minus 7", "Anna Berta Carla Dora Emil Franz Gustav Hanna Ida Jakob"
+    rows = [(1, "say " + sums), (2, "with " + names + " there"), (3, "12 plus 36 minus 7")]
+    assert {k for k in pairs(make(rows), items([(1, sums), (2, names)])) if k != (3, 1)} == {(1, 1), (2, 2)}
+
+
 def test_edge_cases(make, items, prose):
     short = "what is seven plus nine"
     long = prose(40_000, 8) + " " + ITEM
