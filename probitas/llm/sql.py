@@ -33,16 +33,16 @@ where {'doc_id': o.doc_id, 'line_no': o.line_no} <> k.kept
 
 MIXING = r"""
 with counted as (
-    select doc_id, source, cast(len(regexp_extract_all(text, '[^ \t\n\r\f]+')) as bigint) as tokens
+    select doc_id, source, md5(text) as row_key, cast(len(regexp_extract_all(text, '[^ \t\n\r\f]+')) as bigint) as tokens
     from documents where doc_id is not null and text is not null
 ), ordered as (
     select *, md5('17:' || doc_id) as ord from counted where tokens > 0
 ), shards as (
     select greatest(1, cast(ceil(sum(tokens) / 16000000) as bigint)) as shards from ordered
 ), placed as (
-    select doc_id, source, tokens, cast(('0x' || substr(ord, 1, 8))::bigint % shards as int) as shard, ord from ordered, shards
+    select doc_id, source, row_key, tokens, cast(('0x' || substr(ord, 1, 8))::bigint % shards as int) as shard, ord from ordered, shards
 ), spanned as (
-    select *, cast(sum(tokens) over (partition by shard, source order by ord, doc_id, tokens rows unbounded preceding) as bigint) as stop from placed
+    select *, cast(sum(tokens) over (partition by shard, source order by ord, doc_id, tokens, row_key rows unbounded preceding) as bigint) as stop from placed
 ), streams as (
     select shard, source, cast(sum(tokens) // 1024 as bigint) as blocks from placed group by shard, source having sum(tokens) >= 1024
 ), seats as (
@@ -60,12 +60,17 @@ with counted as (
 ), chosen as (
     select p.shard, p.source, p.block from picked p join quotas q on p.shard = q.shard and p.source is not distinct from q.source where pick <= quota
 ), spans as (
-    select shard, source, doc_id, stop - tokens as start, stop, unnest(range((stop - tokens) // 1024, (stop - 1) // 1024 + 1)) as block from spanned
+    select shard, source, doc_id, row_key, stop - tokens as start, stop, unnest(range((stop - tokens) // 1024, (stop - 1) // 1024 + 1)) as block from spanned
 )
-select s.shard, s.source, cast(s.block as bigint) as block, s.doc_id,
+select s.shard, s.source, cast(s.block as bigint) as block, s.doc_id, s.row_key,
        cast(greatest(s.start, s.block * 1024) - s.start as bigint) as first_token,
-       cast(least(s.stop, (s.block + 1) * 1024) - s.start as bigint) as end_token
+       cast(least(s.stop, (s.block + 1) * 1024) - s.start as bigint) as end_token,
+       array_to_string(list_slice(t.tokens, greatest(s.start, s.block * 1024) - s.start + 1, least(s.stop, (s.block + 1) * 1024) - s.start), '') as text
 from spans s join chosen c on s.shard = c.shard and s.source is not distinct from c.source and s.block = c.block
+join (
+    select distinct doc_id, md5(text) as row_key, regexp_extract_all(text, '[ \t\n\r\f]*[^ \t\n\r\f]+(?:[ \t\n\r\f]+$)?') as tokens
+    from documents where doc_id is not null and text is not null
+) t on s.doc_id = t.doc_id and s.row_key = t.row_key
 """
 
 _BASE32 = " || ".join(

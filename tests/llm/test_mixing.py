@@ -1,3 +1,5 @@
+import hashlib
+import re
 from collections import Counter, defaultdict
 
 from probitas.llm.mixing import mixture
@@ -50,9 +52,29 @@ def test_blocks_are_equal_and_disjoint(make):
     assert sorted(got) != sorted(spans(df, block=16, shard_tokens=300, share=0.7, seed=5))
 
 
+def test_blocks_can_be_rebuilt_from_the_result_alone(make):
+    rows = [(1, "\u00a0a b\n\n  c d ", "x"), (1, "w x\ty z\n", "x"), (2, " \u00e9t\u00e9 \x0b long  line\r\n" + " ".join(f"w{k}" for k in range(40)), "x"), (3, "p q r s t", "y"), (3, "p q r s t", "y"), (4, "one", "y")]
+    got = mixture(make(rows), block=4, share=1.0).collect()
+    tokens = re.compile(r"[^ \t\n\r\f]+")
+    blocks = defaultdict(list)
+    for r in got:
+        assert len(tokens.findall(r.text)) == r.end_token - r.first_token
+        blocks[r.source, r.block].append(r)
+    assert all(sum(r.end_token - r.first_token for r in b) == 4 for b in blocks.values())
+    texts = {(d, hashlib.md5(t.encode()).hexdigest()): t for d, t, _ in rows}
+    assert len({r.row_key for r in got if r.doc_id == 1}) == 2
+    for key, text in texts.items():
+        parts = sorted((r.first_token, r.end_token, r.text) for r in got if (r.doc_id, r.row_key) == key)
+        assert all(tokens.findall(text)[a:b] == tokens.findall(t) and t in text for a, b, t in parts)
+        whole = list(dict.fromkeys(parts))
+        if whole and whole[0][0] == 0 and whole[-1][1] == len(tokens.findall(text)) and all(x[1] == y[0] for x, y in zip(whole, whole[1:], strict=False)):
+            assert "".join(t for *_, t in whole) == text
+
+
 def test_edge_cases(make):
     long = " ".join(["w"] * 50_000)
     rows = [(None, "a b c", "x"), (1, None, "x"), (2, "", "x"), (3, " \n ", "x"), (4, "a b c d", None), (5, "a b c d", "x"), (5, "a b c d", "x"), (6, long, "y")]
+    assert Counter(r.text for r in mixture(make(rows), block=4, share=1.0).collect())["a b c d"] == 3
     got = spans(make(rows, clash=True), block=4, share=1.0)
     assert sum(b - a for *_, a, b in got) == 50_000 + 12
     assert Counter(s for _, s, *_ in got) == {None: 1, "x": 2, "y": 12_500}
