@@ -1,7 +1,8 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage works on all that the stage before it kept.  All but the last return the columns of
-``documents``; the last returns the spans of documents that make up the mixture.
+``documents``; the last returns the blocks of the mixture
+with their text, so nothing of the tables before it is needed to write the corpus.
 """
 
 from __future__ import annotations
