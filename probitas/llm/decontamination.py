@@ -10,38 +10,45 @@ isn't.
 
 - number: digits, also with . or , between them, and written-out numbers of ``NUMBERS``;
 - unit: a word of ``UNITS`` right behind a number, also if glued to it;
-- name: capitalised words within a sentence that aren't among ``PLAIN``, and given names of
-  ``NAMES`` anywhere; a run of them is one name.
-
-Beside that, plain windows of words in lower case without placeholders are joined in the same
-way, so a copy word for word is found in any case and wrapping; the pass with the larger
-coverage counts.  In the tables the sizes of plain windows are negative.
-
-An item contaminates a text if at least ``COVERAGE`` of the item's windows are matched.
-Template windows with fewer than half literal words aren't used; plain ones all are.  Items of fewer than ``WINDOW`` words
-are one window of their own size; items of fewer than ``LEAST`` words aren't searched for.
+- name: told in two ways, so there are two template readings of a text.  By vocabulary: a
+  word that no item has but capitalised.  This asks nothing of the text's own case and of
+  sentences and needs no list, so names may be new, open a sentence or stand in lower or
+  upper case; but a name that some item also has as a common word isn't seen.  By capitals:
+  capitalised words within a sentence that aren't among ``PLAIN``, and capitalised given names
+  of ``NAMES`` anywhere, which sees such names.  A run of names is one name.
+
+A third reading leaves all words as they are, so a copy word for word is found whatever its
+words are.  Windows are joined within a reading, and the one with the largest coverage counts.
+
+An item contaminates a text if at least ``COVERAGE`` of the item's windows of a reading are
+matched by alignments whose diagonals are less than ``DRIFT`` words apart, i.e. in one place of the
+text.  Windows of templates with fewer than half literal words aren't used, nor, where the
+vocabulary tells names, those with names and fewer than ``LEAST`` literal words; the reading
+without placeholders uses all.  Items of fewer than ``WINDOW`` words are one window of their own size.
+An item of fewer than ``LEAST`` words is found where it is a whole line of a text; within lines such
+few words are no sign of a copy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, Pieces, cut, lowered, mix, pieces, prefix_sums, signed, span_hashes, with_row_key, words
+from .common import _U, Pieces, Words, cut, lowered, mix, pieces, prefix_sums, signed, span_hashes, with_row_key, words
 
 WINDOW = 8
 LEAST = 4
 COVERAGE = 0.4
-#: Up to so many benchmark windows are sent to every executor (8 bytes each); beyond, the windows of the texts are shuffled to them.
-MOST_SENT = 4_000_000
+DRIFT = 32
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
+PLAIN_READING, BY_CAPITALS, BY_VOCABULARY = range(3)
 NUMBERS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
@@ -72,6 +79,8 @@ _DIGIT[48:58] = True
 _SENTENCE = np.zeros(256, dtype=bool)
 _SENTENCE[[10, 33, 46, 58, 63]] = True
 _SLOT = mix(np.arange(1, 5, dtype=np.uint64))
+#: Bits of a filter: 64 for each key, within these bounds; the largest takes 64 MB.
+_FEWEST_BITS, _MOST_BITS = 22, 29
 
 
 @lru_cache(maxsize=1)
@@ -88,49 +97,120 @@ def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[at] == x
 
 
-def templates(piece: Pieces, plain_words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template word, kind and value of each word or slot, and the first of each row with the end.
+class Filter(NamedTuple):
+    """A Bloom filter of two hashes over 64-bit keys that are hashes themselves."""
 
-    With ``plain_words`` every word is a literal, whatever its case and the signs around it.
-    """
+    bits: int
+    marks: np.ndarray
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        low = _U((1 << self.bits) - 1)
+        found = np.ones(len(keys), dtype=bool)
+        for slot in (keys & low, (keys >> _U(_MOST_BITS)) & low):
+            found &= ((self.marks[slot >> _U(6)] >> (slot & _U(63))) & _U(1)).astype(bool)
+        return found
+
+
+def _filter(keys: DataFrame) -> Filter:
+    """The filter of the one column of ``keys``, put together on the executors; its size is bounded."""
+    [name] = keys.columns
+    bits = min(max((64 * keys.count()).bit_length(), _FEWEST_BITS), _MOST_BITS)
+    low = (1 << bits) - 1
+    slots = F.array(F.col(name).bitwiseAND(F.lit(low)), F.shiftrightunsigned(name, _MOST_BITS).bitwiseAND(F.lit(low)))
+    found = (
+        keys.select(F.explode(slots).alias("slot"))
+        .groupBy(F.shiftrightunsigned("slot", 6).alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("marks"))
+        .toArrow()
+    )
+    marks = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    marks[found["at"].to_numpy()] = found["marks"].to_numpy().view(np.uint64)
+    return Filter(bits, marks)
+
+
+class Reading(NamedTuple):
+    """Template word, kind and value of each word or slot; offsets: the first of each row, and the end."""
+
+    template: np.ndarray
+    kind: np.ndarray
+    value: np.ndarray
+    offsets: np.ndarray
+
+
+class Written(NamedTuple):
+    """The words of a piece and how they are written.  capital: a capital and then no other; opens: at the start of a sentence or row; head: of a row."""
+
+    piece: Pieces
+    found: Words
+    number: np.ndarray
+    unit: np.ndarray
+    capital: np.ndarray
+    opens: np.ndarray
+    head: np.ndarray
+
+
+def written(piece: Pieces) -> Written:
     data = piece.data
     digit = _DIGIT[data]
     glued = np.flatnonzero(digit[:-1] & ~digit[1:]) + 1
     low = lowered(data)
     found = words(piece, low=low, breaks=glued)
-    n = len(found.hash)
-    if not n or plain_words:
-        return found.hash, np.zeros(n, np.int8), found.hash, found.offsets
-    numbers, units, names, plain = _lists()
-    start, end = found.start, found.end
-    digits = np.concatenate([[0], np.cumsum(digit)])
-    number = (digits[end] - digits[start] == end - start) | _among(found.hash, numbers)
+    start, end, n = found.start, found.end, len(found.hash)
     head = np.zeros(n, dtype=bool)
     head[found.offsets[:-1][np.diff(found.offsets) > 0]] = True
-    previous = np.concatenate([[0], end[:-1]])
+    if not n:
+        return Written(piece, found, head, head, head, head, head)
+    numbers, units, _, _ = _lists()
+    digits = np.concatenate([[0], np.cumsum(digit)])
+    number = (digits[end] - digits[start] == end - start) | _among(found.hash, numbers)
+    unit = np.concatenate([[False], number[:-1]]) & ~head & ~number & _among(found.hash, units)
     breaks = np.concatenate([[0], np.cumsum(_SENTENCE[data])])
-    opens = head | (breaks[start] > breaks[previous])
+    opens = head | (breaks[start] > breaks[np.concatenate([[0], end[:-1]])])
     changed = np.concatenate([[0], np.cumsum(low != data)])
-    wide = data[start] == 0xC3
-    first = np.where(wide, 2, 1)
+    first = np.where(data[start] == 0xC3, 2, 1)
     within = np.minimum(start + first, end)
     capital = (changed[within] > changed[start]) & (changed[end] == changed[within]) & (end > within)
-    name = capital & ~number & (~opens | _among(found.hash, names)) & ~_among(found.hash, plain)
-    after_number = np.concatenate([[False], number[:-1]]) & ~head
-    unit = after_number & ~number & _among(found.hash, units)
+    return Written(piece, found, number, unit, capital, opens, head)
+
+
+def _reading(w: Written, name: np.ndarray, apart: np.ndarray) -> Reading:
+    """The reading with these names; a run of names is one unless a name stands ``apart``, and 1,000 and 3.5 are one number."""
+    found, n = w.found, len(w.found.hash)
     kind = np.zeros(n, dtype=np.int8)
-    kind[name], kind[unit], kind[number] = NAME, UNIT, NUMBER
-    # 1,000 and 3.5 are one number, a run of names is one name
-    gap = start - previous
-    point = np.isin(data[np.maximum(start - 1, 0)], [44, 46])
-    follows = np.concatenate([[False], kind[1:] == kind[:-1]]) & ~head
-    joined = follows & (((kind == NUMBER) & (gap == 1) & point & digit[start]) | ((kind == NAME) & ~opens))
+    kind[name], kind[w.unit], kind[w.number] = NAME, UNIT, NUMBER
+    gap = found.start - np.concatenate([[0], found.end[:-1]])
+    point = np.isin(w.piece.data[np.maximum(found.start - 1, 0)], [44, 46])
+    follows = np.concatenate([[False], kind[1:] == kind[:-1]]) & ~w.head
+    joined = follows & (((kind == NUMBER) & (gap == 1) & point & _DIGIT[w.piece.data[found.start]]) | ((kind == NAME) & ~apart))
     keep = np.flatnonzero(~joined)
-    last = np.append(keep[1:], n)
-    value = span_hashes(prefix_sums(found.hash), keep, last)
+    value = span_hashes(prefix_sums(found.hash), keep, np.append(keep[1:], n))
     kind = kind[keep]
-    template = np.where(kind == LITERAL, value, _SLOT[kind])
-    return template, kind, value, np.searchsorted(keep, found.offsets)
+    return Reading(np.where(kind == LITERAL, value, _SLOT[kind]), kind, value, np.searchsorted(keep, found.offsets))
+
+
+def readings(w: Written, vocabulary: Filter, wanted: tuple[int, ...] = (PLAIN_READING, BY_CAPITALS, BY_VOCABULARY)) -> dict[int, Reading]:
+    found, n = w.found, len(w.found.hash)
+    out = {}
+    if not n or PLAIN_READING in wanted:
+        out[PLAIN_READING] = Reading(found.hash, np.zeros(n, np.int8), found.hash, found.offsets)
+    if not n:
+        return dict.fromkeys(wanted, out[PLAIN_READING])
+    if BY_CAPITALS in wanted:
+        _, _, names, plain = _lists()
+        out[BY_CAPITALS] = _reading(w, w.capital & ~w.number & (~w.opens | _among(found.hash, names)) & ~_among(found.hash, plain), w.opens)
+    if BY_VOCABULARY in wanted:
+        out[BY_VOCABULARY] = _reading(w, ~w.number & ~w.unit & ~vocabulary.has(found.hash), w.head)
+    return out
+
+
+def _common_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of items that are written as common ones at least once."""
+    plain = _lists()[3]
+    for batch in batches:
+        for _, _, piece in pieces(batch.column(0)):
+            w = written(piece)
+            common = ~w.number & ~w.unit & (~w.capital | _among(w.found.hash, plain))
+            yield pa.RecordBatch.from_arrays([signed(np.unique(w.found.hash[common]))], names=["word"])
 
 
 def _windows(template: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,56 +226,63 @@ def _lists_of(values: np.ndarray, start: np.ndarray, size: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(start) * size + 1, size, dtype=np.int32)), pa.array(taken.ravel()))
 
 
-def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for (i, j, piece), sign in product(pieces(batch.column(2)), (1, -1)):
-            template, kind, value, offsets = templates(piece, sign < 0)
-            count = np.diff(offsets)
-            sizes = np.minimum(count, WINDOW)
-            for size in np.unique(sizes[sizes >= LEAST]).tolist():
-                row, start, key = _windows(template, offsets, size)
-                literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-                keep = (sizes[row] == size) & (2 * (literal[start + size] - literal[start]) >= size)
-                row, start, key = row[keep], start[keep], key[keep]
-                total = np.bincount(row, minlength=j - i)[row]
-                rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, j - i).take(rows),
-                        batch.column(1).slice(i, j - i).take(rows),
-                        pa.array(np.full(len(row), sign * size, dtype=np.int32)),
-                        signed(key),
-                        pa.array((start - offsets[row]).astype(np.int32)),
-                        pa.array(total.astype(np.int32)),
-                        _lists_of(kind.astype(np.int32), start, size),
-                        _lists_of(value.view(np.int64), start, size),
-                    ],
-                    names=["item_id", "item_key", "size", "window", "item_pos", "total", "kinds", "item_values"],
-                )
-
+def _count_of(kind: np.ndarray, what: int, start: np.ndarray, size: int) -> np.ndarray:
+    sums = np.concatenate([[0], np.cumsum(kind == what)])
+    return sums[start + size] - sums[start]
 
-_ITEM = "item_id bigint, item_key bigint, size int, window bigint, item_pos int, total int, kinds array<int>, item_values array<bigint>"
-_BITS = 1 << 22
 
-
-def _text_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], sent) -> Iterator[pa.RecordBatch]:
-    """Windows of texts; of those in the benchmark only, where its windows were sent."""
-    known = marks = None
-    if sent is not None:
-        known = sent.value
-        marks = np.zeros(_BITS, dtype=bool)
-        marks[known & _U(_BITS - 1)] = True
+def _item_windows(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j, piece in pieces(batch.column(2)):
+            for reading, (template, kind, value, offsets) in readings(written(piece), vocabulary.value).items():
+                sizes = np.minimum(np.diff(offsets), WINDOW)
+                for size in np.unique(sizes[sizes >= (1 if reading == PLAIN_READING else LEAST)]).tolist():
+                    row, start, key = _windows(template, offsets, size)
+                    literal = _count_of(kind, LITERAL, start, size)
+                    keep = (sizes[row] == size) & (2 * literal >= size)
+                    if reading == BY_VOCABULARY:
+                        keep &= (literal >= LEAST) | (_count_of(kind, NAME, start, size) == 0)
+                    row, start, key = row[keep], start[keep], key[keep]
+                    rows = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(i, j - i).take(rows),
+                            batch.column(1).slice(i, j - i).take(rows),
+                            pa.array(np.full(len(row), reading, dtype=np.int32)),
+                            pa.array(np.full(len(row), size, dtype=np.int32)),
+                            signed(key),
+                            pa.array((start - offsets[row]).astype(np.int32)),
+                            pa.array(np.bincount(row, minlength=j - i)[row].astype(np.int32)),
+                            _lists_of(kind.astype(np.int32), start, size),
+                            _lists_of(value.view(np.int64), start, size),
+                        ],
+                        names=["item_id", "item_key", "reading", "size", "window", "item_pos", "total", "kinds", "item_values"],
+                    )
+
+
+_ITEM = "item_id bigint, item_key bigint, reading int, size int, window bigint, item_pos int, total int, kinds array<int>, item_values array<bigint>"
+
+
+def _text_windows(batches: Iterator[pa.RecordBatch], shapes: list[tuple[int, int]], vocabulary, known) -> Iterator[pa.RecordBatch]:
+    """The windows of texts that pass the filter of the benchmark's windows."""
+    wanted = tuple({reading for reading, _ in shapes})
     for batch in batches:
         for i, j, piece in pieces(batch.column(2)):
-            kinds = {plain: templates(piece, plain) for plain in {s < 0 for s in sizes}}
-            for signed_size in sizes:
-                template, _, value, offsets = kinds[signed_size < 0]
-                size = abs(signed_size)
+            w = written(piece)
+            read = readings(w, vocabulary.value, wanted)
+            for reading, size in shapes:
+                template, _, value, offsets = read[reading]
                 row, start, key = _windows(template, offsets, size)
-                if known is not None:
-                    maybe = np.flatnonzero(marks[key & _U(_BITS - 1)])
-                    maybe = maybe[_among(key[maybe], known)] if len(known) else maybe[:0]
-                    row, start, key = row[maybe], start[maybe], key[maybe]
+                maybe = np.flatnonzero(known.value.has(key))
+                if len(maybe) and size < LEAST:
+                    # the words of a whole line; words are those of the plain reading here
+                    line = np.concatenate([[0], np.cumsum(piece.data == 10)])[w.found.start]
+                    breaks = np.concatenate([[True], line[1:] > line[:-1], [True]])
+                    breaks[offsets] = True
+                    maybe = maybe[breaks[start[maybe]] & breaks[start[maybe] + size]]
+                    inner = np.concatenate([[0], np.cumsum(breaks)])
+                    maybe = maybe[inner[start[maybe] + size] - inner[start[maybe]] == 1]
+                row, start, key = row[maybe], start[maybe], key[maybe]
                 if not len(row):
                     continue
                 rows = pa.array(row)
@@ -203,19 +290,20 @@ def _text_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], sent) ->
                     [
                         batch.column(0).slice(i, j - i).take(rows),
                         batch.column(1).slice(i, j - i).take(rows),
-                        pa.array(np.full(len(row), signed_size, dtype=np.int32)),
+                        pa.array(np.full(len(row), reading, dtype=np.int32)),
+                        pa.array(np.full(len(row), size, dtype=np.int32)),
                         signed(key),
                         pa.array((start - offsets[row]).astype(np.int32)),
                         _lists_of(value.view(np.int64), start, size),
                     ],
-                    names=["doc_id", "row_key", "size", "window", "pos", "values"],
+                    names=["doc_id", "row_key", "reading", "size", "window", "pos", "values"],
                 )
 
 
-_TEXT = "doc_id bigint, row_key bigint, size int, window bigint, pos int, values array<bigint>"
+_TEXT = "doc_id bigint, row_key bigint, reading int, size int, window bigint, pos int, values array<bigint>"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, most_sent: int = MOST_SENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of a text and a benchmark item that it contains, verbatim or re-parameterised.
 
     Result: doc_id, row_key, item_id, windows (matched windows of the item), coverage (their
@@ -225,25 +313,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     Repeated rows count once.  Items that share an id but not a text are searched for
     separately, and the one with the largest coverage is reported for the id.  Other columns
     are ignored, whatever their names.  An empty table on either side gives no rows.
+
+    Two Bloom filters of bounded size are sent to the executors, one of the benchmark's common
+    words and one of its windows; windows of texts that pass are joined with the benchmark's, so a
+    false positive costs a row and changes nothing.
     """
+    send = docs.sparkSession.sparkContext.broadcast
     source = with_row_key(docs, "text")
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("item_key"), "text")
-    items = cut(items.distinct().mapInArrow(_item_windows, _ITEM))
-    shape = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()
-    sent = None
-    if shape["n"] <= most_sent:
-        windows = items.select("window").toArrow()["window"].to_numpy()
-        sent = docs.sparkSession.sparkContext.broadcast(np.unique(windows.view(np.uint64)))
-    sizes = sorted(shape["sizes"])
-    found = source.mapInArrow(lambda batches: _text_windows(batches, sizes, sent), _TEXT).join(items, ["size", "window"])
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("item_key"), "text").distinct()
+    vocabulary = send(_filter(cut(items.select("text").mapInArrow(_common_words, "word bigint").distinct())))
+    items = cut(items.mapInArrow(lambda batches: _item_windows(batches, vocabulary), _ITEM))
+    shapes = sorted((r.reading, r.size) for r in items.select("reading", "size").distinct().collect())  # of 3 readings and WINDOW sizes
+    known = send(_filter(items.select("window")))
+    found = source.mapInArrow(lambda batches: _text_windows(batches, shapes, vocabulary, known), _TEXT).join(items, ["reading", "size", "window"])
     slots = F.filter(F.arrays_zip("kinds", "item_values", "values"), lambda s: s["kinds"] > 0)
     different = lambda *fields: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kinds"], *(s[f] for f in fields)))))
+    place = lambda shift: F.struct(F.lit(shift).alias("grid"), F.floor((F.col("diagonal") + shift) / (2 * DRIFT)).alias("cell"))
+    # two grids of cells, so diagonals less than DRIFT apart lie in one cell of one of them
     return (
-        found.groupBy("doc_id", "row_key", "item_id", "item_key", (F.col("size") < 0).alias("plain"), "total", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+        found.groupBy("doc_id", "row_key", "item_id", "item_key", "reading", "total", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
         .agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))
         .where((F.size("slots") == different("item_values")) & (F.size("slots") == different("values")))
-        .select("*", F.forall("slots", lambda s: s["item_values"] == s["values"]).alias("same"))
-        .groupBy("doc_id", "row_key", "item_id", "item_key", "plain", "total")
+        .select("*", F.forall("slots", lambda s: s["item_values"] == s["values"]).alias("same"), F.explode(F.array(place(0), place(DRIFT))).alias("place"))
+        .groupBy("doc_id", "row_key", "item_id", "item_key", "reading", "total", "place")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("windows"), F.min("same").alias("verbatim"))
         .withColumn("coverage", F.round(F.col("windows") / F.col("total"), 6))
         .where(F.col("coverage") >= coverage)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from test_decontamination import brute as brute_items
 from test_line_dedup import brute as brute_lines
 from test_mixing import sainte_lague
 from test_near_dedup import changed
@@ -12,7 +13,6 @@ from test_near_dedup import changed
 import corpus_pipeline as P
 from probitas.llm import quality_rules as R
 from probitas.llm.common import pieces, words
-from probitas.llm.decontamination import COVERAGE, LITERAL, WINDOW, templates
 from probitas.llm.mixing import BLOCK, SEED, SHARE
 from probitas.llm.near_dedup import THRESHOLD, allowed_edits, banded_distance
 
@@ -91,31 +91,9 @@ def by_hand(spark, folder):
     single = {d: v for d, v in left.items() if top(d) == d}
     kept.append(set(single))
 
-    def windows(text):
-        template, kind, value, _ = templates(piece(text))
-        return [(k, tuple(template[k : k + WINDOW]), kind[k : k + WINDOW], value[k : k + WINDOW]) for k in range(len(template) - WINDOW + 1)]
-
-    items = [windows(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
-    clean = {}
-    for d, (text, source) in single.items():
-        there = defaultdict(list)
-        for w in windows(text):
-            there[w[1]].append(w)
-        found = False
-        for item in items:
-            usable = [w for w in item if 2 * (w[2] == LITERAL).sum() >= WINDOW]
-            lines = defaultdict(list)
-            for w in usable:
-                for v in there.get(w[1], ()):
-                    lines[v[0] - w[0]].append((w, v))
-            matched = set()
-            for hits in lines.values():
-                slots = {(k, int(x), int(y)) for w, v in hits for k, x, y in zip(w[2], w[3], v[3], strict=True) if k}
-                if len(slots) == len({s[:2] for s in slots}) == len({(s[0], s[2]) for s in slots}):
-                    matched |= {w[0] for w, _ in hits}
-            found |= bool(usable) and len(matched) / len(usable) >= COVERAGE
-        if not found:
-            clean[d] = (text, source)
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    dirty = {d for d, _ in brute_items({d: t for d, (t, _) in single.items()}, items)}
+    clean = {d: v for d, v in single.items() if d not in dirty}
     kept.append(set(clean))
     streams = defaultdict(list)
     for d, (text, source) in clean.items():
