@@ -1,10 +1,11 @@
 """Operator 1: near-duplicate lines by a deletion-neighbourhood join.
 
 A line is the text between two newlines; its words are the runs without white space, in
-lower case.  Two lines match if they have the same words, or if both have at least
-``near_words`` words and the word edit distance is 1: one word inserted, deleted or replaced.
-Every line that matches an earlier one is dropped; "earlier" compares the first occurrences
-by (doc_id, row_key, line number).
+lower case; in scripts that don't part words (Chinese, Japanese, Thai) every character is one.  Two
+lines match if they have the same words, or if the word edit distance is 1, one word inserted,
+deleted or replaced, and both have at least ``near_words`` words, so that one edit is at most
+1 / near_words of a line.  Every line that matches an earlier one is dropped, whatever its
+length; "earlier" compares the first occurrences by (doc_id, row_key, line number).
 
 The deletion neighbourhood of a line is the line itself and the line without its i-th word,
 for every i.  Two lines are within one edit only if their neighbourhoods meet, so an equi-join
@@ -19,6 +20,10 @@ compared before a line is dropped, so hash collisions drop nothing.
 Within a bucket of equal neighbours, lines of one length that lack the same position are
 within one edit of each other, so linking each to the earliest is exact, and the number of
 links grows linearly with the lines, whatever a bucket's size.
+
+The earliest match of a line may have an earlier match itself.  Such chains are followed to
+their end, a line that stays, by doubling the steps, so the rounds grow with the logarithm of the
+longest chain.
 """
 
 from __future__ import annotations
@@ -48,16 +53,24 @@ from .common import (
     words,
 )
 
-MIN_WORDS = 4
 NEAR_WORDS = 8
 LINE_BYTES = np.uint8(10)
 _BASE2_INV = _U(pow(int(BASE2), -1, 1 << 64))
 _HALVES = ("h0", "h1", "h2", "h3")
 
 
+def _words(piece):
+    """The runs without white space; a character of U+3000 to U+9FFF or of Thai is a word by itself."""
+    data = piece.data
+    alone = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))
+    thai = np.flatnonzero(data[:-1] == 0xE0)
+    alone = np.concatenate([alone, thai[(data[thai + 1] == 0xB8) | (data[thai + 1] == 0xB9)]])
+    return words(piece, inside=solid_bytes(data), low=data, breaks=np.concatenate([alone, alone + 3]))
+
+
 def _lines(piece):
     """Words of a piece of texts and, for each line: its row, number in the row and range of words."""
-    found = words(piece, inside=solid_bytes(piece.data), low=piece.data)
+    found = _words(piece)
     breaks = np.flatnonzero(piece.data == LINE_BYTES) + 1
     starts = np.union1d(piece.offsets[:-1], breaks)
     filled = np.diff(piece.offsets) > 0
@@ -79,12 +92,12 @@ def _half(n: np.ndarray) -> np.ndarray:
 
 
 def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, row_key, text) to the hashes of each line of at least MIN_WORDS words."""
+    """(doc_id, row_key, text) to the hashes of each line that has a word."""
     for batch in batches:
         for i, j, piece in pieces(batch.column(2)):
             found, row, number, first, last = _lines(piece)
             n = last - first
-            keep = np.flatnonzero(n >= MIN_WORDS)
+            keep = np.flatnonzero(n)
             if not len(keep):
                 continue
             row, number, first, last, n = (x[keep] for x in (row, number, first, last, n))
@@ -119,7 +132,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(at, line) to the hashes of the line's neighbours; pos is -1 for the line itself."""
     for batch in batches:
         for i, j, piece in pieces(batch.column(1)):
-            found = words(piece, inside=solid_bytes(piece.data), low=piece.data)
+            found = _words(piece)
             first, last = found.offsets[:-1], found.offsets[1:]
             n = last - first
             sums = prefix_sums(found.hash)
@@ -148,8 +161,12 @@ def _at() -> Column:
 _AT = "struct<doc_id: bigint, row_key: bigint, line_no: int>"
 
 
+_ALONE = r"\x{E00}-\x{E7F}\x{3000}-\x{9FFF}"
+WORD = rf"[{_ALONE}]|[^ \t\r\f\x0B{_ALONE}]+"
+
+
 def word_list(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \\t\\r\\f\\x0B]+"), lambda w: w != "")
+    return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
 
 
 def _within_one_edit(a: Column, b: Column) -> Column:
@@ -160,21 +177,31 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     return F.when(n == F.size(b), rest(a) == rest(b)).otherwise(F.slice(a, same_head, n) == rest(b))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def _ends(near: DataFrame) -> DataFrame:
+    """(at, near, edits): each line's match replaced by the end of the chain of matches that it begins."""
+    near = cut(near)
+    while not near.join(near.select(F.col("at").alias("near")), "near", "left_semi").isEmpty():
+        on = near.select(F.col("at").alias("near"), F.col("near").alias("further"), F.col("edits").alias("more"))
+        near = cut(near.join(on, "near", "left").select("at", F.coalesce("further", "near").alias("near"), (F.col("edits") + F.coalesce("more", F.lit(0))).alias("edits")))
+    return near
+
+
+def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """The lines that match an earlier line.
 
     Result: doc_id, row_key, line_no (from 0), kept_doc_id, kept_row_key, kept_line_no: the
-    earliest line within the bound of it, and edits, 0 or 1.
+    line that stays for it, which is found by going to the earliest match again and again;
+    and edits, the steps of one word edit that lead there, 0 where the words are the same.
 
-    Rows whose doc_id or text is null take no part.  Lines of fewer than ``MIN_WORDS`` words,
-    so empty texts too, are never dropped.  Repeated rows (same id and text) are one row: what
+    Rows whose doc_id or text is null take no part.  Lines without a word, so empty texts too,
+    are never dropped.  Repeated rows (same id and text) are one row: what
     is dropped of one is dropped of all.  Ties can't occur between distinct lines.  Columns
     other than doc_id and text are ignored, whatever their names.  An empty table gives no rows.
     """
-    return _repeated_lines(docs)[0]
+    return _repeated_lines(docs, near_words)[0]
 
 
-def _repeated_lines(docs: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+def _repeated_lines(docs: DataFrame, near_words: int) -> tuple[DataFrame, Callable[[], None]]:
     """``repeated_lines``, and a function that removes the table that it reads."""
     source = with_row_key(docs, F.lower("text").alias("text"))
     lines = source.mapInArrow(_line_keys, _KEYS)
@@ -183,7 +210,7 @@ def _repeated_lines(docs: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
             F.min(_at()).alias("at"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), *(F.min(h).alias(h) for h in _HALVES)
         )
     )
-    halves = distinct.where(F.col("n") >= NEAR_WORDS).select("at", F.explode(F.array_compact(F.array(*_HALVES))).alias("half"))
+    halves = distinct.where(F.col("n") >= near_words).select("at", F.explode(F.array_compact(F.array(*_HALVES))).alias("half"))
     shared = (
         halves.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("half")))
         .where("lines > 1")
@@ -217,13 +244,13 @@ def _repeated_lines(docs: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
         .where(F.abs(F.size(a) - F.size(b)) <= 1)
         .where(F.when(F.size(a) <= F.size(b), _within_one_edit(a, b)).otherwise(_within_one_edit(b, a)))
         .groupBy("at")
-        .agg(F.min("early").alias("near"))
+        .agg(F.min("early").alias("near"), F.lit(1).alias("edits"))
     )
     keepers = (
         distinct.select("key", "check", "at", "copies")
-        .join(near, "at", "left")
+        .join(_ends(near), "at", "left")
         .where((F.col("copies") > 1) | F.col("near").isNotNull())
-        .select("key", "check", F.coalesce("near", "at").alias("kept"), F.col("near").isNotNull().cast("int").alias("edits"))
+        .select("key", "check", F.coalesce("near", "at").alias("kept"), F.coalesce("edits", F.lit(0)).alias("edits"))
     )
     found = (
         lines.select("key", "check", _at())
@@ -241,7 +268,7 @@ def _repeated_lines(docs: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return found, remove
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """``docs`` without the lines that match an earlier line.
 
     All columns are kept; n_chars, where there is one, is set to the new length.  A text of
@@ -249,7 +276,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     it is, also where it is null or empty or the doc_id is null.  Rows and columns are otherwise
     unchanged, repeated rows included.
     """
-    repeated, remove = _repeated_lines(docs)
+    repeated, remove = _repeated_lines(docs, near_words)
     gone = cut(repeated.groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("gone")), free=True)
     remove()
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("row_key"))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 LINE_DEDUP = r"""
-with texts as (
+with recursive texts as (
     select doc_id, string_split(lower(text), chr(10)) as lines from documents where doc_id is not null and text is not null
 ), lines as (
     select doc_id, generate_subscripts(lines, 1) - 1 as line_no, unnest(lines) as line from texts
 ), worded as (
-    select doc_id, line_no, list_filter(string_split_regex(line, '[ \t\r\f\v]+'), lambda w: w <> '') as ws from lines
+    select doc_id, line_no, regexp_extract_all(line, '[\x{E00}-\x{E7F}\x{3000}-\x{9FFF}]|[^ \t\r\f\v\x{E00}-\x{E7F}\x{3000}-\x{9FFF}]+') as ws from lines
 ), occurring as (
-    select doc_id, line_no, ws, array_to_string(ws, ' ') as line from worded where len(ws) >= 4
+    select doc_id, line_no, ws, array_to_string(ws, ' ') as line from worded where len(ws) > 0
 ), firsts as (
     select line, any_value(ws) as ws, min({'doc_id': doc_id, 'line_no': line_no}) as spot from occurring group by line
 ), neighbours as (
@@ -23,10 +23,16 @@ with texts as (
     from neighbours a join neighbours b using (neighbour)
     where b.spot < a.spot and (a.n = b.n and a.pos = b.pos or a.n = b.n + 1 and b.pos = 0 or b.n = a.n + 1 and a.pos = 0)
     group by a.spot
+), chain as (
+    select spot, near as kept, 1 as edits from near
+    union all
+    select c.spot, n.near, c.edits + 1 from chain c join near n on c.kept = n.spot
+), ends as (
+    select spot, arg_max(kept, edits) as kept, max(edits) as edits from chain group by spot
 ), keepers as (
-    select line, coalesce(near, firsts.spot) as kept, case when near is null then 0 else 1 end as edits from firsts left join near on firsts.spot = near.spot
+    select line, coalesce(kept, firsts.spot) as kept, coalesce(edits, 0) as edits from firsts left join ends on firsts.spot = ends.spot
 )
-select o.doc_id, cast(o.line_no as int) as line_no, k.kept.doc_id as kept_doc_id, cast(k.kept.line_no as int) as kept_line_no, k.edits
+select o.doc_id, cast(o.line_no as int) as line_no, k.kept.doc_id as kept_doc_id, cast(k.kept.line_no as int) as kept_line_no, cast(k.edits as int) as edits
 from occurring o join keepers k using (line)
 where {'doc_id': o.doc_id, 'line_no': o.line_no} <> k.kept
 """

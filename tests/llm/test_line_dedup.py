@@ -1,8 +1,9 @@
 import itertools
 import random
+import re
 
 from probitas.llm import line_dedup
-from probitas.llm.line_dedup import MIN_WORDS, NEAR_WORDS, drop_repeated_lines, repeated_lines
+from probitas.llm.line_dedup import NEAR_WORDS, drop_repeated_lines, repeated_lines
 
 
 def edits(a, b):
@@ -16,17 +17,25 @@ def edits(a, b):
 
 
 def brute(rows):
-    """(doc, line) to (doc, line) that stays, by comparing all pairs of lines."""
-    occurring = [((d, k), tuple(line.lower().split())) for d, t in rows for k, line in enumerate(t.split("\n"))]
-    occurring = [(at, w) for at, w in occurring if len(w) >= MIN_WORDS]
+    """(doc, line) to (doc, line) that stays and the steps to it, by comparing all pairs of lines."""
+    word = re.compile("[\u0e00-\u0e7f\u3000-\u9fff]|[^ \\t\\r\\f\\v\u0e00-\u0e7f\u3000-\u9fff]+")
+    occurring = [((d, k), tuple(word.findall(line.lower()))) for d, t in rows for k, line in enumerate(t.split("\n"))]
+    occurring = [(at, w) for at, w in occurring if w]
     first = {}
     for at, w in sorted(occurring):
         first.setdefault(w, at)
-    keeper = dict(first)
+    match = {}
     for v, w in itertools.permutations(first, 2):
         if min(len(v), len(w)) >= NEAR_WORDS and abs(len(v) - len(w)) <= 1 and first[w] < first[v] and edits(v, w) <= 1:
-            keeper[v] = min(keeper[v], first[w])
-    return {at: (keeper[w], int(keeper[w] != first[w])) for at, w in occurring if keeper[w] != at}
+            match[first[v]] = min(match.get(first[v], first[w]), first[w])
+    out = {}
+    for at, w in occurring:
+        kept, steps = first[w], 0
+        while kept in match:
+            kept, steps = match[kept], steps + 1
+        if kept != at:
+            out[at] = (kept, steps)
+    return out
 
 
 def found(df):
@@ -66,9 +75,30 @@ def test_every_single_edit_is_found(make):
     assert all(result[k + 1, 0] == ((0, 0), 1) for k in range(len(variants)))
 
 
-def test_two_edits_and_short_lines_stay(make):
-    rows = [(1, "a b c d e f g h i j"), (2, "a X c d e f g Y i j"), (3, "a b c d e"), (4, "a b c d X"), (5, "a b"), (6, "a b")]
+def test_two_edits_and_edits_of_short_lines_stay(make):
+    rows = [(1, "a b c d e f g h i j"), (2, "a X c d e f g Y i j"), (3, "a b c d e"), (4, "a b c d X"), (5, "a b"), (6, "b a")]
     assert found(make(rows)) == {}
+    assert {(r.doc_id, r.kept_doc_id) for r in repeated_lines(make(rows), near_words=5).collect()} == {(4, 3)}
+
+
+def test_short_lines_go_where_they_are_repeated(make):
+    rows = [(1, "}\nYes"), (2, "a b\n\n  }"), (3, "yes\nA  b\n \n"), (4, "Yes")]
+    assert found(make(rows)) == {(2, 2): ((1, 0), 0), (3, 0): ((1, 1), 0), (3, 1): ((2, 0), 0), (4, 0): ((1, 1), 0)}
+    assert {r.doc_id: r.text for r in drop_repeated_lines(make(rows)).collect()} == {1: "}\nYes", 2: "a b\n", 3: " \n"}
+
+
+def test_chains_end_at_a_line_that_stays(make):
+    base = [f"w{k}" for k in range(12)]
+    rows = [(k, " ".join([f"x{j}" if j < k else w for j, w in enumerate(base)])) for k in range(9)]
+    result = found(make(rows))
+    assert result == brute(rows) == {(k, 0): ((0, 0), k) for k in range(1, 9)}
+
+
+def test_scripts_without_spaces(make):
+    rows = [(1, "\u6211\u4eec\u4eca\u5929\u53bb\u516c\u56ed\u6563\u6b65"), (2, "\u6211\u4eec\u660e\u5929\u53bb\u516c\u56ed\u6563\u6b65"), (3, "\u6211 \u4eec\u4eca\u5929\u53bb\u516c\u56ed\u6563\u6b65"), (4, "\u0e27\u0e31\u0e19\u0e19\u0e35\u0e49\u0e2d\u0e32\u0e01\u0e32\u0e28"), (5, "\u0e27\u0e31\u0e19\u0e19\u0e35\u0e49\u0e2d\u0e32\u0e01\u0e32\u0e28\u0e14\u0e35"), (6, "abc\u6211\u4eecdef")]
+    rows += [(7, rows[3][1] + "\u0e14"), (8, "\u00e9\u00e9 \u20ac \U0001f600 \ud55c\uad6d")]
+    assert found(make(rows)) == brute(rows)
+    assert set(found(make(rows))) == {(2, 0), (3, 0), (7, 0)}
 
 
 def test_edge_cases(make):
