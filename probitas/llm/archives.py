@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_DATE = rb"(\d{4,14})"
+_CHUNK = 1 << 14
 _V1 = re.compile(rb"(?P<url>\S.*) (?P<ip>[0-9A-Fa-f.:-]+) (?P<date>\d{8,14}) (?P<type>\S+) (?P<length>\d+)\r?\Z")
 _V2 = re.compile(
     rb"(?P<url>\S.*) (?P<ip>[0-9A-Fa-f.:-]+) (?P<date>\d{8,14}) (?P<type>\S+) (?P<code>\d+|-) (?P<checksum>\S+) (?P<location>\S+) (?P<offset>\d+|-) (?P<file>\S+) (?P<length>\d+)\r?\Z"
@@ -55,16 +55,20 @@ def unpacked(content: bytes) -> bytes:
     """``content``, decompressed if it is a series of gzip members; of a member that breaks off, what can be unpacked."""
     if content[:2] != b"\x1f\x8b":
         return content
-    out = []
-    while content[:2] == b"\x1f\x8b":
+    # a member's end is only known when it is reached, so little is read beyond it
+    out, view, at = [], memoryview(content), 0
+    while view[at : at + 2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
         try:
-            out.append(member.decompress(content))
+            while at < len(view) and not member.eof:
+                chunk = view[at : at + _CHUNK]
+                out.append(member.decompress(chunk))
+                at += len(chunk)
         except zlib.error:
             break
         if not member.eof:
             break
-        content = member.unused_data
+        at -= len(member.unused_data)
     return b"".join(out)
 
 

@@ -1,5 +1,7 @@
 import base64
 import gzip
+import random
+import time
 import hashlib
 import random
 
@@ -92,3 +94,17 @@ def test_pages_and_files(spark, tmp_path):
     assert {u: b.split("\r\n\r\n", 1)[1] for u, b in got.items()} == {"http://a/b c": "<p>é</p>", "http://a/": ""}
     (tmp_path / "one.arc").write_bytes(b"".join(arc(1, sample(3))))
     assert arc_to_warc(read_arc(spark, str(tmp_path))).where("arc_name = 'one.arc'").count() == 4
+
+
+def test_time_grows_with_the_size_of_a_compressed_file():
+    rnd = random.Random(2)
+    member = lambda: gzip.compress(b"http://h/x 1.2.3.4 20010203040506 text/html 3000\n" + rnd.randbytes(3000) + b"\n", 1)
+    parts = [member() for _ in range(500)]
+
+    def seconds(times):
+        content, began = b"".join(parts * times), time.process_time()
+        assert len(list(arc_records(content))) == 500 * times
+        return time.process_time() - began
+
+    seconds(1)
+    assert seconds(32) < 8 * max(seconds(8), 0.05)  # 48 MB; four times the data, sixteen times if it were quadratic
