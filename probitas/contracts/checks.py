@@ -37,7 +37,8 @@ _OWN = {
     "pattern": {"return", "pattern", "format", "flags"},
     "min_length": {"return"},
     "max_length": {"return"},
-    "percentile": {"percentile"},
+    "percentile": {"percentile", "approximate"},
+    "cardinality": {"approximate"},
     "freshness": {"max_age_hours", "timestamp_column", "aggregation"},
     "completeness": {"partition_column", "granularity", "lookback_days", "allow_future_gaps", "max_gap_count"},
 }
@@ -143,7 +144,7 @@ class ContractCheck:
             case "avg_length":
                 return metric(M.average_length(c, self.length))
             case "cardinality":
-                return mp.unique_count(c)
+                return metric(M.approximate_unique_count(c)) if self.option("approximate") else mp.unique_count(c)
             case "min":
                 return mp.minimum(c)
             case "max":
@@ -159,7 +160,7 @@ class ContractCheck:
             case "stddev":
                 return sqrt(mp.variance(c))
             case "percentile":
-                return metric(M.percentile(c, self.option("percentile")))
+                return metric(M.percentile(c, self.option("percentile"), exact=not self.option("approximate")))
         raise ContractValidationError(f"Unknown type of check: {self.type}")
 
     @property
@@ -225,6 +226,7 @@ def _check_options(type_: str, column: str | None, o: dict[str, Any], where: str
         need(("pattern" in o) != ("format" in o), "pattern needs exactly one of pattern and format")
         need("format" not in o or o["format"] in FORMATS, f"unknown format {o.get('format')!r}")
         need(all(f in FLAGS for f in o.get("flags") or ()), f"flags are among {', '.join(FLAGS)}")
+    need(isinstance(o.get("approximate", False), bool), "approximate is true or false")
     if type_ == "percentile":
         need(_number(o.get("percentile")) and 0 <= o["percentile"] <= 1, "percentile is a number from 0 to 1")
     if type_ == "freshness":

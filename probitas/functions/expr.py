@@ -298,6 +298,18 @@ def coalesce(*xs: Any) -> Expr:
     return Apply("coalesce", *xs)
 
 
+def function(name: str, on_numbers: Callable[..., float], on_columns: Callable[..., Column]) -> Callable[..., Expr]:
+    """Any other function of expressions: what it does to numbers, and the same as columns.
+
+    ``tanh = function("tanh", math.tanh, F.tanh)`` makes ``tanh(mp.average("x"))``.  An error of
+    the function, such as a ValueError, fails the assertion like a division of infinities.
+    """
+    if name in _OPERATIONS and _OPERATIONS[name] is not on_numbers:
+        raise ValueError(f"A function named {name} exists")
+    _OPERATIONS[name], _COLUMNS[name] = on_numbers, on_columns
+    return lambda *xs: Apply(name, *xs)
+
+
 def pct(x: float) -> float:
     """x percent as a number: pct(5) is 0.05."""
     return x / 100

@@ -78,6 +78,11 @@ class Metric:
             raise ProbitasError(f"{self.name} can't be filtered within an aggregation")
         return self.spec.column(self, (lambda c: c) if where is None else (lambda c: F.when(where, c))).cast("double")
 
+    def row_value(self, where: Column | None = None) -> Column:
+        """The number that a row has for the metric; null outside ``where``."""
+        value = F.expr(self.args[0]).cast("double")
+        return value if where is None else F.when(where, value)
+
     def validate(self, frame: DataFrame) -> None:
         """Refuse temporal input where a number is needed: engines disagree on what it would mean."""
         if not self.spec.numeric:
@@ -188,8 +193,17 @@ def empty_value(metric: Metric) -> float | None:
     return metric.spec.empty
 
 
+def _truncated(unit: str, x: dt.datetime) -> dt.datetime:
+    """The start of the period; weeks begin on Monday, as Spark's ``date_trunc`` has it."""
+    x = x.replace(minute=0, second=0, microsecond=0)
+    if unit == "hour":
+        return x
+    x = x.replace(hour=0)
+    return x - dt.timedelta(days=x.weekday()) if unit == "week" else x.replace(day=1) if unit == "month" else x
+
+
 def _periods(unit: str, start: dt.datetime, end: dt.datetime):
-    at = start
+    at, end = _truncated(unit, start), _truncated(unit, end)
     while at <= end:
         yield at
         if unit == "month":
@@ -227,6 +241,11 @@ def first(column: str, order_by: str | None = None) -> Metric:
     return Metric("first", (column,) if order_by is None else (column, order_by))
 
 
+def approximate_unique_count(column: str) -> Metric:
+    """HyperLogLog++ with a relative deviation of 5 %."""
+    return Metric("approximate_unique_count", (column,))
+
+
 def null_count(column: str) -> Metric:
     return Metric("null_count", (column,))
 

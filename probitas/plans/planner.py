@@ -2,7 +2,8 @@
 
 All metrics of all days are one ``groupBy(day).agg(...)``.  Metrics with parameters are folded
 into the same scan with conditional aggregates, where that means the same as filtering the rows;
-the others are one filtered aggregation for each set of parameters.
+the others are one filtered aggregation for each set of parameters.  Exact percentiles, which no
+bounded aggregate has, are selected in two passes of their own.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from probitas.keys import Err, Ok, ProbitasError, fail
 from probitas.operators.metrics import Metric, empty_value
+from probitas.operators.selection import exact_percentiles
 from probitas.sources.frame import DATE, FrameSource
 
 Request = tuple[dt.date, Metric]
@@ -26,10 +28,14 @@ def _thaw(parameters: tuple) -> dict:
     return {k: list(v) if isinstance(v, tuple) else v for k, v in parameters}
 
 
+#: Distinct counts of so many different columns share an aggregation, which then shuffles each row that often.
+MAX_DISTINCT = 2
+
+
 class Planner:
     """max_distinct_per_job: so many distinct counts of different columns share an aggregation (each multiplies the rows that are shuffled); None for no bound."""
 
-    def __init__(self, source: FrameSource, max_distinct_per_job: int | None = None):
+    def __init__(self, source: FrameSource, max_distinct_per_job: int | None = MAX_DISTINCT):
         self.source, self.max_distinct = source, max_distinct_per_job
 
     def groups(self, metrics: Iterable[Metric]) -> list[tuple[tuple, list[Metric]]]:
@@ -59,15 +65,21 @@ class Planner:
         out = []
         for parameters, members in self.groups(metrics):
             rows = self.source.rows(dates, _thaw(parameters))
-            columns = []
-            for k, m in enumerate(members):
+            where = {}
+            for m in members:
                 m.validate(rows)
-                where = self.source.condition(_thaw(m.parameters)) if m.parameters != parameters else None
-                columns.append(m.column(where).alias(f"m{k}"))
-            if self.source.by_date:
-                out.append((members, rows.groupBy(DATE).agg(*columns)))
-            else:  # one day, so one group, which has a row even without input
-                out.append((members, rows.drop(DATE).agg(*columns).withColumn(DATE, F.lit(dates[0]))))
+                where[m] = self.source.condition(_thaw(m.parameters)) if m.parameters != parameters else None
+            exact = [m for m in members if m.kind == "percentile"]
+            rest = [m for m in members if m.kind != "percentile"]
+            if exact:
+                wanted = {f"m{k}": (m.row_value(where[m]), m.args[1]) for k, m in enumerate(exact)}
+                found = exact_percentiles(rows, DATE if self.source.by_date else None, wanted)
+                out.append((exact, found if self.source.by_date else found.withColumn(DATE, F.lit(dates[0]))))
+            columns = [m.column(where[m]).alias(f"m{k}") for k, m in enumerate(rest)]
+            if rest and self.source.by_date:
+                out.append((rest, rows.groupBy(DATE).agg(*columns)))
+            elif rest:  # one day, so one group, which has a row even without input
+                out.append((rest, rows.drop(DATE).agg(*columns).withColumn(DATE, F.lit(dates[0]))))
         return out
 
     def table(self, dates: list[dt.date], metrics: dict[str, Metric]) -> DataFrame:
@@ -80,10 +92,9 @@ class Planner:
             parts = [f.select(*(F.col(f"m{k}").alias(names[m]) for k, m in enumerate(members))) for members, f in self.frames(dates, metrics.values())]
             row = reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
             return row.select(F.lit(dates[0]).alias("date"), *(F.col(f"`{names[m]}`").alias(n) for n, m in metrics.items()))
-        spark = self.source.rows(dates[:1]).sparkSession
-        days = spark.createDataFrame([(d,) for d in dates], "date date")
-        joined = days
-        for members, frame in self.frames(dates, metrics.values()):
+        frames = self.frames(dates, metrics.values())
+        joined = frames[0][1].sparkSession.createDataFrame([(d,) for d in dates], "date date")
+        for members, frame in frames:
             joined = joined.join(F.broadcast(frame.withColumn("__there", F.lit(True))), joined["date"] == frame[DATE], "left").drop(DATE)
             for k, m in enumerate(members):
                 empty = empty_value(m)

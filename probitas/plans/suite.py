@@ -30,7 +30,7 @@ from probitas.sources.store import MetricStore, StoredMetric, StoreStats, parame
 
 from . import profiles as P
 from .config import Config, load
-from .planner import Planner
+from .planner import MAX_DISTINCT, Planner
 from .tunables import Tunable, TunableChange, by_name
 
 log = logging.getLogger("probitas")
@@ -399,7 +399,7 @@ class VerificationSuite:
         plugins: Sequence[Any] = (),
         strict: bool = False,
         reuse_history: bool = False,
-        max_distinct_per_job: int | None = None,
+        max_distinct_per_job: int | None = MAX_DISTINCT,
         log_level: str | None = None,
     ):
         if not checks:
@@ -539,11 +539,14 @@ class VerificationSuite:
             requests += [r for r in self._base_requests(s.spec, day) if r[0] not in source.skip_dates]
         requests = list(dict.fromkeys(requests))
         known = self._known(source.name, requests, key) if self.reuse_history else {}
-        found = known | Planner(source, self.max_distinct).run(r for r in requests if r not in known)
+        missing = [r for r in requests if r not in known]
+        # what the states of some metrics hold beside their value, from the same scan
+        computed = Planner(source, self.max_distinct).run([*missing, *((d, extra) for d, m in missing for extra in states.beside(m))])
+        found = known | {r: computed[r] for r in missing}
         if self.strict and (bad := next((v for v in found.values() if not v.ok), None)):
             raise ProbitasError(str(bad))
         self._analysis |= {(source.name, *r): v for r, v in found.items()}
-        self._persist([(m, d, v) for (d, m), v in found.items() if (d, m) not in known], source.name, key)
+        self._persist([(m, d, v) for (d, m), v in found.items() if (d, m) not in known], source.name, key, computed)
         derived: dict[tuple[Any, dt.date], Ok | Err] = {(m, d): v for (d, m), v in found.items()}
 
         def value(spec: Any, day: dt.date) -> Ok | Err:
@@ -560,13 +563,19 @@ class VerificationSuite:
         self._persist([(spec, d, v) for (spec, d), v in derived.items() if isinstance(spec, Trend)], source.name, key)
 
     def _known(self, dataset: str, requests: list, key: ResultKey) -> dict:
-        known = {}
+        """Stored values of earlier days, read once for each metric."""
+        earlier: dict[M.Metric, list[dt.date]] = {}
         for day, metric in requests:
-            if day < key.yyyy_mm_dd and (row := self.db.get_metric(metric.name, dataset, day, parameters_text(metric.parameters), key.tags)):
-                known[day, metric] = Ok(row.value)
+            if day < key.yyyy_mm_dd:
+                earlier.setdefault(metric, []).append(day)
+        known = {}
+        for metric, days in earlier.items():
+            rows = self.db.get_metric_window(metric.name, dataset, min(days), max(days), parameters_text(metric.parameters), key.tags)
+            known |= {(d, metric): Ok(rows[d].value) for d in days if d in rows}
         return known
 
-    def _persist(self, values: list[tuple[Any, dt.date, Ok | Err]], dataset: str, key: ResultKey) -> None:
+    def _persist(self, values: list[tuple[Any, dt.date, Ok | Err]], dataset: str, key: ResultKey, computed: dict | None = None) -> None:
+        known = {r: v.value for r, v in (computed or {}).items() if v.ok}
         self.db.persist(
             StoredMetric(
                 metric_type=spec.kind,
@@ -576,7 +585,7 @@ class VerificationSuite:
                 yyyy_mm_dd=day,
                 parameters=parameters_text(spec.parameters),
                 tags=key.tags,
-                state=json.dumps({"value": v.value}) if isinstance(spec, M.Metric) and states.mergeable(spec) and spec.kind not in ("average", "variance") else "{}",
+                state=json.dumps(states.stored(spec, lambda m: known.get((day, m))) or {}) if isinstance(spec, M.Metric) else "{}",
                 execution_id=self.execution_id,
             )
             for spec, day, v in values

@@ -6,25 +6,31 @@ Every query goes through the public API: sources, planner, trends, suites, contr
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probitas.contracts import Contract, OdcsContract
-from probitas.functions import PREDICATES, coalesce, sqrt
+from probitas.functions import PREDICATES, coalesce, function, pct, sqrt
 from probitas.functions.expr import Expr, Ref
 from probitas.keys import ResultKey
 from probitas.operators import metrics as M
 from probitas.operators import trends
-from probitas.operators.states import state_of
+from probitas.operators.states import combined, state_columns
 from probitas.plans import profiles as P
+from probitas.plans.config import parse
 from probitas.plans.planner import Planner
 from probitas.plans.suite import VerificationSuite, check
-from probitas.plans.tunables import TunableFloat
-from probitas.reports.trace import trace_join
-from probitas.sources import FrameSource, MemoryStore
+from probitas.plans.tunables import TunableChoice, TunableFloat, TunableInt
+from probitas.reports.trace import discrepancy_details, trace_join
+from probitas.sources import CachedStore, FrameSource, MemoryStore, ParquetStore, StoredMetric
+from probitas.sources.scratch import scratch_folder
 from probitas.sources.store import latest
+from probitas.streaming import StateTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -516,22 +522,195 @@ def latest_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register(
-    "select l_returnflag, round(cast(count(*) as double), 4) as n, round(avg(l_quantity), 4) as mean, round(var_samp(l_quantity), 4) as var, round(max(l_tax), 4) as high from lineitem group by 1"
+    """select nullif(l_returnflag, 'R') as flag, round(cast(count(*) as double), 4) as n, round(avg(l_quantity), 4) as mean, round(var_samp(l_quantity), 4) as var,
+       round(var_samp(l_quantity + 1e9), 4) as var_far, round(max(l_tax), 4) as high, round(min_by(l_extendedprice, {'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber}), 4) as opening
+       from lineitem group by 1"""
 )
 def merged_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics from states of disjoint parts, here one for each ship month, merged as tables."""
-    metrics = {"n": M.num_rows(), "mean": M.average("l_quantity"), "var": M.variance("l_quantity"), "high": M.maximum("l_tax")}
-    rows = _read(spark, sf_dir, "lineitem")
-    read = {"mean": F.col("mean"), "var": F.col("m2") / (F.col("n") - 1)}
-    columns = [c.alias(f"{name}_{part}") for name, m in metrics.items() for part, c in state_of(m).columns(m).items()]
-    parts = rows.groupBy("l_returnflag", F.date_trunc("month", "l_shipdate").alias("month")).agg(*columns)
-    out = None
-    for name, m in metrics.items():
-        state = state_of(m)
-        own = parts.select("l_returnflag", *(F.col(f"{name}_{p}").alias(p) for p in state.columns(m)))
-        one = own.groupBy("l_returnflag").agg(*(c.alias(p) for p, c in state.combine().items())).select("l_returnflag", read.get(name, F.col("value") if name not in read else None).alias(name))
-        out = one if out is None else out.join(one, "l_returnflag")
-    return _rounded(out)
+    """Metrics from states of disjoint parts, here one for each ship month, merged as tables; with a null key and values far from zero."""
+    metrics = {
+        "n": M.num_rows(),
+        "mean": M.average("l_quantity"),
+        "var": M.variance("l_quantity"),
+        "var_far": M.variance("l_quantity + 1e9D"),
+        "high": M.maximum("l_tax"),
+        "opening": M.first("l_extendedprice", "struct(l_shipdate, l_orderkey, l_linenumber)"),
+    }
+    rows = _read(spark, sf_dir, "lineitem").withColumn("flag", F.nullif("l_returnflag", F.lit("R")))
+    parts = rows.groupBy("flag", F.date_trunc("month", "l_shipdate").alias("month")).agg(*state_columns(metrics))
+    return _rounded(combined(parts, ["flag"], metrics))
+
+
+@_register("select nullif(l_returnflag, 'R') as flag, cast(count(*) as double) as n, round(avg(l_quantity), 4) as mean, round(var_samp(l_quantity), 4) as spread, round(min(l_tax), 4) as low from lineitem group by 1")
+def state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Micro-batches, here of one year each, added to a table of states; the second is added twice, as after a failure."""
+    rows = _read(spark, sf_dir, "lineitem").withColumn("flag", F.nullif("l_returnflag", F.lit("R")))
+    table = StateTable(spark, scratch_folder(spark), [M.num_rows(), M.average("l_quantity"), M.variance("l_quantity"), M.minimum("l_tax")], ["flag"])
+    years = sorted(r[0] for r in rows.select(F.year("l_shipdate")).distinct().collect())
+    for k, year in [*enumerate(years), (1, years[1])]:
+        table.add(rows.where(F.year("l_shipdate") == year), k)
+    return _rounded(table.frame().toDF("flag", "n", "mean", "spread", "low"))
+
+
+@_register("select cast(cast(ts as date) as varchar) as date, 'sum(value)' as name, round(sum(value), 4) as value from events where cast(ts as date) between date '2024-01-11' and date '2024-01-18' group by 1 union all select cast(cast(ts as date) as varchar), 'num_rows()', count(*) from events where cast(ts as date) between date '2024-01-17' and date '2024-01-20' group by 1")
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of ten days written to a store of files, some deleted again, and read as a window of days."""
+    store = ParquetStore(spark, scratch_folder(spark))
+    source, days = _events(spark, sf_dir), _days(DAY - dt.timedelta(days=9), DAY)
+    values = Planner(source).run([(d, m) for d in days for m in (M.total("value"), M.num_rows())])
+    rows = [StoredMetric(m.kind, m.name, "events", v.value, d, tags={"env": "test"}) for (d, m), v in values.items()]
+    store.persist([replace(r, metric_id=f"old {r.metric_id}", value=-1.0, created=r.created - dt.timedelta(days=1)) for r in rows])
+    store.persist(rows)
+    for r in rows:
+        if r.metric_type == "num_rows" and r.yyyy_mm_dd == days[0]:
+            store.delete(r.metric_id)
+    window = store.get_metric_window("sum(value)", "events", days[0], days[7], tags={"env": "test"})
+    counts = store.get_metric_window("num_rows()", "events", days[6], DAY, tags={"env": "test"})
+    found = spark.createDataFrame([(d, r.name, r.value) for own in (window, counts) for d, r in own.items()], "date date, name string, value double")
+    return _rounded(found)
+
+
+@_register("select cast(count(*) as double) as total, cast(count(*) filter (where o_orderdate + interval 7 day < timestamp '1996-01-01') as double) as expired from orders")
+def store_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a store is older than its time to live."""
+    orders = _read(spark, sf_dir, "orders")
+    written = orders.select(
+        F.col("o_orderkey").cast("string").alias("metric_id"), F.lit("sum").alias("metric_type"), F.lit("sum(x)").alias("name"), F.lit("{}").alias("parameters"), F.lit("orders").alias("dataset"),
+        F.lit("{}").alias("state"), F.col("o_totalprice").cast("double").alias("value"), F.lit(DAY).alias("yyyy_mm_dd"), F.expr("map('env', 'test')").alias("tags"), F.lit("run").alias("execution_id"),
+        F.lit(168).alias("ttl_hours"), F.col("o_orderdate").cast("timestamp").alias("created"),
+    )
+    folder = scratch_folder(spark)
+    written.write.partitionBy("yyyy_mm_dd").parquet(f"{folder}/metrics")
+    stats = ParquetStore(spark, folder).stats(dt.datetime(1996, 1, 1))
+    return spark.createDataFrame([(float(stats.total), float(stats.expired))], "total double, expired double")
+
+
+@_register(
+    " union all ".join(
+        _row("History", name, "P1", "'PASSED'", value, "(select 1)")
+        for name, value in (("today", _DAILY_AT("sum(value)", 0)), ("yesterday", "1.0"), ("change", f"abs(({_DAILY_AT('sum(value)', 0)} - 1.0) / 1.0)"))
+    )
+)
+def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A suite that takes earlier days from the store, behind a write-back cache; the stored value is another than that of the rows."""
+
+    @check(name="History")
+    def of(mp, ctx):
+        ctx.assert_that(mp.sum("value")).config(name="today").noop()
+        ctx.assert_that(mp.sum("value", lag=1)).config(name="yesterday").noop()
+        ctx.assert_that(mp.ext.day_over_day(mp.sum("value"))).config(name="change").noop()
+
+    store = MemoryStore()
+    store.persist([StoredMetric("sum", "sum(value)", "events", 1.0, DAY - dt.timedelta(days=1))])
+    with CachedStore(store) as cache:
+        suite = VerificationSuite([of], cache, "History", reuse_history=True)
+        suite.run([_events(spark, sf_dir)], ResultKey(DAY))
+    return _results(suite, spark)
+
+
+@_register(
+    " union all ".join(
+        [
+            _row("Tuned", "share", "P1", "case when count(*) filter (where o_orderstatus = 'F') / count(*) > 0.3 then 'PASSED' else 'FAILED' end", "count(*) filter (where o_orderstatus = 'F') / count(*)", "orders"),
+            _row("Tuned", "priority", "P1", "'PASSED'", "count(*) filter (where o_orderpriority = '2-HIGH')", "orders"),
+            _row("Tuned", "limit", "P1", "'FAILED'", "count(*)", "orders"),
+        ]
+    )
+)
+def tunables_in_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tunables of three types, set from YAML and by hand between two runs of a suite."""
+    share, priority, most = TunableFloat("SHARE", 0.9, bounds=(0.0, 1.0)), TunableChoice("PRIORITY", "1-URGENT", choices=("1-URGENT", "2-HIGH")), TunableInt("MOST", 10**9, bounds=(1, 10**12))
+
+    @check(name="Tuned")
+    def of(mp, ctx):
+        ctx.assert_that(mp.count_values("o_orderstatus", "F") / mp.num_rows()).config(name="share").is_gt(share)
+        ctx.assert_that(mp.count_values("o_orderpriority", priority.value)).config(name="priority").is_geq(0)
+        ctx.assert_that(mp.num_rows()).config(name="limit").is_leq(most)
+
+    suite = VerificationSuite([of], MemoryStore(), "Tuned", config=parse("tunables: {SHARE: 0.5, MOST: 10}"))
+    source = FrameSource(_read(spark, sf_dir, "orders"), "orders")
+    suite.run([source], ResultKey(DAY))
+    suite.set_param("SHARE", 0.3, agent="query", reason="second run")
+    priority.set("2-HIGH")
+    suite.reset()
+    suite.run([source], ResultKey(DAY))
+    return _results(suite, spark)
+
+
+@_register(
+    " union all ".join(
+        [
+            _row("One", "own dataset", "P1", "'PASSED'", "count(*)", "nation"),
+            _row("Two", "named", "P1", "'PASSED'", "(select count(*) from nation) - count(*)", "region"),
+            _row("Two", "critical", "P0", "'FAILED'", "count(*)", "region"),
+            _row("Two", "missing", "P1", "'FAILED'", "null", "(select 1)"),
+        ]
+    )
+)
+def imputed_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics get the dataset of their check where they name none; a metric without a value fails only its own assertion."""
+
+    @check(name="One", datasets=["nation"])
+    def one(mp, ctx):
+        ctx.assert_that(mp.num_rows()).config(name="own dataset").is_positive()
+
+    @check(name="Two", datasets=["nation", "region"])
+    def two(mp, ctx):
+        ctx.assert_that(mp.num_rows(dataset="nation") - mp.num_rows(dataset="region")).config(name="named").is_gt(0)
+        ctx.assert_that(mp.num_rows(dataset="region")).config(name="critical", severity="P0").is_zero()
+        ctx.assert_that(mp.average("nullif(r_regionkey, r_regionkey)", dataset="region")).config(name="missing").is_zero()
+
+    suite = VerificationSuite([one, two], MemoryStore(), "Imputed")
+    suite.run([FrameSource(_read(spark, sf_dir, t), t) for t in ("nation", "region")], ResultKey(DAY))
+    return _results(suite, spark) if suite.is_critical() else _results(suite, spark).limit(0)
+
+
+@_register(
+    " union all ".join(
+        f"select '{kind}' as connector, cast(count(*) as double) as n, round(sum(n_nationkey), 4) as keys, cast(max(length(n_name)) as double) as longest from nation{where}"
+        for kind, where in (("arrow", ""), ("csv", ""), ("json", ""), ("orc", ""), ("parquet", ""), ("function", " where n_regionkey <> 2"), ("union", ", range(2)"))
+    )
+)
+def connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same metrics of a table from memory, from files of four formats, from a function of the day, and from a union."""
+    nation = _read(spark, sf_dir, "nation")
+    sources = {"arrow": FrameSource.from_arrow(spark, nation.toArrow(), "nation"), "union": FrameSource(nation.unionByName(nation), "nation")}
+    for kind in ("csv", "json", "orc", "parquet"):
+        folder, options = scratch_folder(spark), {"header": "true"} if kind == "csv" else {}
+        nation.write.format(kind).options(**options).save(folder)
+        sources[kind] = FrameSource.from_path(spark, folder, "nation", kind, options)
+    sources["function"] = FrameSource(lambda day, parameters: nation.where(F.col("n_regionkey") != parameters["but"]), "nation")
+    tables = []
+    for kind, source in sources.items():
+        with_ = {"but": 2} if kind == "function" else {}
+        metrics = {"n": M.num_rows(), "keys": M.total("n_nationkey"), "longest": M.max_length("n_name")}
+        tables.append(Planner(source).table([DAY], {n: m.with_parameters(with_) for n, m in metrics.items()}).select(F.lit(kind).alias("connector"), "n", "keys", "longest"))
+    return _rounded(reduce(DataFrame.unionByName, tables))
+
+
+@_register("select round(avg(l_tax) * 0.05, 6) as five_percent, round(tanh(avg(l_discount)), 6) as bent, 1.0::double as yes, avg(l_tax) between 0 and 1 as near, round(count(*) / count(distinct l_orderkey), 6) as lines from lineitem")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentages, a function of the user's own, booleans as numbers, and a tolerant comparison."""
+    frame = Planner(FrameSource(_read(spark, sf_dir, "lineitem"), "lineitem")).table([DAY], {"tax": M.average("l_tax"), "discount": M.average("l_discount"), "n": M.num_rows(), "orders": M.unique_count("l_orderkey")})
+    columns = {c: F.col(c) for c in frame.columns}
+    expressions = {"five_percent": Ref("tax") * pct(5), "bent": function("tanh", math.tanh, F.tanh)(Ref("discount")), "yes": Ref("n") * 0 + True, "lines": Ref("n") / Ref("orders")}
+    near = F.abs(F.col("tax") - 0.5) < 0.5 + 1e-9
+    return frame.select(*(F.round(e.column(columns), 6).alias(n) for n, e in expressions.items()), near.alias("near"))
+
+
+@_register(
+    """with steps as (select n_nationkey as k, cast(n_regionkey as double) as a, n_regionkey + (n_nationkey % 3) as b, n_regionkey + (n_nationkey % 2) as c from nation),
+       pairs as (select k, 'value_db to value_analysis' as steps, a as before, b as after from steps union all select k, 'value_analysis to value_final', b, c from steps union all select k, 'value_db to value_final', a, c from steps)
+       select 'm' || k as metric, steps, cast(before as double) as before, cast(after as double) as after, cast(after - before as double) as difference from pairs where before <> after"""
+)
+def trace_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each two steps of the trace between which a value changed."""
+    key, value = F.col("n_nationkey"), F.col("n_regionkey").cast("double")
+    trace = _read(spark, sf_dir, "nation").select(
+        F.lit(DAY).alias("date"), F.concat(F.lit("m"), key).alias("metric"), F.concat(F.lit("x_"), key).alias("symbol"), F.lit("nation").alias("dataset"), F.lit(False).alias("is_extended"),
+        value.alias("value_db"), (value + key % 3).alias("value_analysis"), (value + key % 2).alias("value_final"),
+    )
+    return discrepancy_details(trace).select("metric", "steps", "before", "after", "difference")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

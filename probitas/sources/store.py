@@ -94,6 +94,9 @@ class MemoryStore:
     def get_by_execution_id(self, execution_id: str) -> list[StoredMetric]:
         return self._where(lambda r: r.execution_id == execution_id)
 
+    def all(self) -> list[StoredMetric]:
+        return list(self._rows.values())
+
     def exists(self, metric_id: str) -> bool:
         return metric_id in self._rows
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from probitas.operators.metrics import Metric
-from probitas.operators.states import state_of
+from probitas.operators.states import combined, state_columns, state_of
 
 
 class StateTable:
@@ -24,36 +24,18 @@ class StateTable:
     def __init__(self, spark: SparkSession, path: str, metrics: list[Metric], keys: list[str]):
         for m in metrics:
             state_of(m)  # refuses what can't be merged
-        self.spark, self.path, self.metrics, self.keys = spark, path.rstrip("/"), metrics, keys
-
-    def _columns(self):
-        return [(f"m{k}_{part}", m, part, c) for k, m in enumerate(self.metrics) for part, c in state_of(m).columns(m).items()]
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+        self.metrics = {f"m{k}": m for k, m in enumerate(metrics)}
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
         """Write the states of a micro-batch; for ``foreachBatch``."""
-        states = batch.groupBy(*self.keys).agg(*(c.alias(name) for name, _, _, c in self._columns()))
+        states = batch.groupBy(*self.keys).agg(*state_columns(self.metrics))
         states.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
     def frame(self) -> DataFrame:
-        """(keys, a column for each metric, by its name) over all micro-batches."""
-        merged = self.spark.read.parquet(self.path)
-        out = None
-        for k, m in enumerate(self.metrics):
-            state = state_of(m)
-            parts = [p for _, x, p, _ in self._columns() if x is m]
-            renamed = merged.select(*self.keys, *(F.col(f"m{k}_{p}").alias(p) for p in parts))
-            one = renamed.groupBy(*self.keys).agg(*(c.alias(p) for p, c in state.combine().items()))
-            one = one.select(*self.keys, _value(m).alias(m.name))
-            out = one if out is None else out.join(one, self.keys)
-        return out
-
-
-def _value(m: Metric):
-    if m.kind == "average":
-        return F.col("mean")
-    if m.kind == "variance":
-        return F.when(F.col("n") > 1, F.col("m2") / (F.col("n") - 1))
-    return F.col("value")
+        """(keys, a column for each metric, by its name) over all micro-batches; a null key is a key like others."""
+        out = combined(self.spark.read.parquet(self.path), self.keys, self.metrics)
+        return out.select(*self.keys, *(F.col(k).alias(m.name) for k, m in self.metrics.items()))
 
 
 def stream_metrics(stream: DataFrame, table: StateTable, checkpoint: str) -> DataStreamWriter:

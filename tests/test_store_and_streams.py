@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from probitas.keys import ProbitasError
 from probitas.operators import metrics as M
-from probitas.sources import MemoryStore, ParquetStore, StoredMetric
+from probitas.sources import CachedStore, CacheStats, MemoryStore, ParquetStore, StoredMetric
 from probitas.sources.store import with_created
 from probitas.streaming import StateTable, stream_metrics, windowed_metrics
 
@@ -61,7 +61,7 @@ def events(spark, path, parts):
 
 def test_states_of_a_stream(spark, tmp_path):
     at = dt.datetime(2024, 5, 1)
-    parts = [[("a", 1.0, at), ("a", None, at), ("b", 5.0, at)], [("a", 4.0, at), ("c", 2.0, at)], [("b", 7.0, at), ("a", 1.0, at)]]
+    parts = [[("a", 1.0, at), (None, 3.0, at), ("a", None, at), ("b", 5.0, at)], [("a", 4.0, at), ("c", 2.0, at)], [("b", 7.0, at), ("a", 1.0, at)]]
     events(spark, f"{tmp_path}/in", parts)
     metrics = [M.num_rows(), M.total("x"), M.average("x"), M.variance("x"), M.minimum("x"), M.maximum("x"), M.null_count("x")]
     table = StateTable(spark, f"{tmp_path}/states", metrics, ["k"])
@@ -89,3 +89,36 @@ def test_windows_with_a_watermark(spark, tmp_path):
     query.awaitTermination(120)
     rows = spark.table("windows").orderBy("start").select("start", F.col("`num_rows()`").alias("n"), F.col("`sum(x)`").alias("s")).collect()
     assert [(r.start, r.n, r.s) for r in rows] == [(at, 10.0, 45.0), (at + 10 * minute, 10.0, 145.0), (at + 20 * minute, 10.0, 245.0)]
+
+
+def test_write_back_cache():
+    day = dt.date(2024, 5, 1)
+    row = lambda v, **kw: StoredMetric("sum", "sum(x)", "d", v, day, **kw)
+    below = MemoryStore()
+    below.persist([row(1.0, execution_id="old")])
+    cache = CachedStore(below, most_dirty=3)
+    assert [cache.get_metric("sum(x)", "d", day).value for _ in range(3)] == [1.0] * 3
+    assert (cache.counts.hits, cache.counts.misses) == (2, 1) and cache.counts.hit_ratio == pytest.approx(2 / 3)
+    new = row(2.0, execution_id="new")
+    cache.persist([new])
+    assert cache.get_metric("sum(x)", "d", day).value == 2.0 and below.stats().total == 1
+    assert cache.is_dirty(new.metric_id) and cache.counts.dirty == 1 and cache.exists(new.metric_id)
+    assert [r.value for r in cache.get_by_execution_id("new")] == [2.0] and cache.stats().total == 2
+    cache.persist([row(3.0), row(4.0)])  # as many as are held back at most
+    assert below.stats().total == 4 and cache.counts.dirty == 0 and cache.get_metric("sum(x)", "d", day).value == 4.0
+    cache.persist([gone := row(5.0)])
+    cache.delete(gone.metric_id)
+    assert cache.counts.dirty == 0 and cache.get_metric("sum(x)", "d", day).value == 4.0
+    with cache:
+        cache.persist([row(6.0)])
+    assert below.stats().total == 5 and cache.flush() == 0
+    assert cache.delete_expired(dt.datetime(2999, 1, 1)) == 5 and cache.get_metric("sum(x)", "d", day) is None
+    assert CacheStats().hit_ratio == 0.0
+
+
+def test_parquet_store_behind_a_cache(spark, tmp_path):
+    store = ParquetStore(spark, f"{tmp_path}/store")
+    with CachedStore(store) as cache:
+        for k in range(5):
+            cache.persist([StoredMetric("sum", "sum(x)", "d", float(k), dt.date(2024, 5, 1 + k))])
+    assert store.stats().total == 5 and len(list((tmp_path / "store/metrics").glob("*/*.parquet"))) == 5

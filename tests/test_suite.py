@@ -1,11 +1,12 @@
 import datetime as dt
+import json
 import math
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from probitas.functions import PREDICATES, coalesce, exp, log, maximum_of, pct, sqrt, within_tol
+from probitas.functions import PREDICATES, coalesce, exp, function, log, maximum_of, pct, sqrt, within_tol
 from probitas.functions.expr import Ref
 from probitas.keys import Err, Ok, ProbitasError, ResultKey, fail
 from probitas.operators import trends
@@ -306,3 +307,81 @@ def test_plugins(sales):
 
 def test_err_text():
     assert isinstance(fail("x"), Err) and str(fail("x")) == "x" and not fail("x").ok
+
+
+def test_a_plugin_beyond_its_time_is_interrupted(sales):
+    ended = []
+
+    class Endless:
+        @staticmethod
+        def metadata():
+            return plugins.PluginMetadata("endless")
+
+        def process(self, context):
+            try:
+                while True:
+                    time.sleep(0.01)
+            finally:
+                ended.append(True)
+
+    suite = run([sales()], lambda mp, ctx: ctx.assert_that(mp.num_rows()).config(name="a").noop())
+    manager = plugins.PluginManager([Endless], time_limit=0.2)
+    assert manager.process_all(suite, [sales()]) == {"endless": "time limit"} and ended == [True]
+    manager.unregister("endless")
+    manager.register(plugins.AuditPlugin)
+    assert manager.process_all(suite, [sales()]) == {"audit": "ok"}
+
+
+def test_reports_of_a_run(sales, capsys):
+    def body(mp, ctx):
+        ctx.assert_that(mp.sum("tax") / mp.num_rows(lag=1)).config(name="ratio").is_gt(0)
+        ctx.assert_that(mp.ext.day_over_day(mp.average("n"))).config(name="change", severity="P0").noop()
+
+    suite = run([sales()], body)
+    analysed = trace.analysis_table(suite)
+    assert analysed.schema == trace.ANALYSIS_ARROW
+    assert [(r["date"], r["metric"], r["value"]) for r in analysed.to_pylist()] == [(day(0), "average(n)", 0.9), (day(0), "sum(tax)", 100.0), (day(1), "average(n)", 0.9), (day(1), "num_rows()", 10.0)]
+    stored = suite.db.get_by_execution_id(suite.execution_id)
+    metrics = trace.metrics_table(stored)
+    assert metrics.schema == trace.METRICS_ARROW and metrics.num_rows == 5 and metrics["tags"].to_pylist() == ["env=prod"] * 5
+    assert trace.metrics_table([]).num_rows == 0 and trace.metrics_table([]).schema == trace.METRICS_ARROW
+    tables.print_analysis_report(suite)
+    tables.print_metrics_by_execution_id(stored, suite.execution_id)
+    tables.print_graph(suite)
+    shown = capsys.readouterr().out
+    assert "Analysis report" in shown and f"Metrics for execution: {suite.execution_id}" in shown
+    assert "Suite suite\n  Check c0\n    ratio [P1]" in shown and "num_rows(), 1 days before of ds1" in shown
+
+
+def test_states_are_stored(sales):
+    suite = run([sales()], lambda mp, ctx: ctx.assert_that(mp.variance("n") + mp.average("n") + mp.num_rows()).config(name="a").noop())
+    found = {r.name: json.loads(r.state) for r in suite.db.get_by_execution_id(suite.execution_id)}
+    assert found == {"variance(n)": {"n": 10.0, "mean": 0.9, "m2": pytest.approx(6.9)}, "average(n)": {"n": 10.0, "mean": 0.9}, "num_rows()": {"value": 10.0}}
+
+
+def test_history_is_read_once_for_each_metric(sales):
+    class Counting(MemoryStore):
+        reads = 0
+
+        def get_metric_window(self, *args, **kw):
+            self.reads += 1
+            return super().get_metric_window(*args, **kw)
+
+    body = lambda mp, ctx: ctx.assert_that(mp.ext.stddev(mp.sum("tax"), offset=1, n=7) + mp.sum("tax")).config(name="a").noop()
+    db = Counting()
+    first = run([sales()], body, db=db)
+    again = run([sales()], body, db=db, reuse_history=True)
+    assert db.reads == 1 and first.collect_results()[0].metric == again.collect_results()[0].metric
+
+
+def test_other_functions(sales):
+    tanh = function("tanh", math.tanh, F.tanh)
+    inverse = function("inverse", lambda x: 1 / x, lambda c: 1 / c)
+
+    def body(mp, ctx):
+        ctx.assert_that(tanh(mp.average("n"))).config(name="bent").is_eq(math.tanh(0.9))
+        ctx.assert_that(inverse(mp.negative_count("n"))).config(name="fails").noop()
+
+    assert statuses(run([sales()], body)) == {"bent": "PASSED", "fails": "FAILED"}
+    with pytest.raises(ValueError, match="exists"):
+        function("tanh", math.tan, F.tan)
