@@ -1,6 +1,7 @@
 """Operator 3: near-duplicate documents by Order MinHash, verified by banded alignment.
 
-The words of a text (runs of letters and digits, without case) form k-mers of ``K`` words;
+The words of a text (runs of letters and digits, without case) form k-mers of 1 to 3 words, by the
+length of the text (``SCHEMES``, which overlap so that two texts within the bound share one);
 equal k-mers of a text are told apart by their occurrence number, so a text is a set of
 labelled k-mers and repetition counts.  Each of ``SKETCHES`` hash functions picks the ``L``
 smallest labelled k-mers, and the sketch is their k-mers in the order of the text (Marcais,
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _U, BASE2, _free, cut, mix, pieces, prefix_sums, signed, span_hashes, table, with_row_key, words
+from .common import _U, BASE2, Words, _free, cut, mix, pieces, prefix_sums, signed, span_hashes, table, with_row_key, words
 from .components import components
 
-#: With these, a pair of texts of 200 words with 25 % of scattered edits has a common sketch in 95 % of the cases.
-K = 3
+#: Words of a k-mer, and the fewest and the most words of the texts that are sketched with such.  Of pairs of
+#: texts with scattered edits, at least these shares have a common sketch (tests/llm measures them):
+#: all at 10 %, 0.95 at 20 %, 0.92 at 25 %; groups of more than two documents are linked more safely.
+SCHEMES = ((1, 1, 8), (2, 6, 40), (3, 30, 1 << 40))
 L = 2
 SKETCHES = 44
 THRESHOLD = 0.75
@@ -57,17 +60,17 @@ def occurrences(values: np.ndarray, row: np.ndarray) -> np.ndarray:
     return occurrence
 
 
-def kmers(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def kmers(found: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each k-mer, hash of each labelled k-mer, and the first k-mer of each row, with the end.
 
-    A row of fewer than K words, but at least one, is one shorter k-mer.
+    A row of fewer than k words, but at least one, is one shorter k-mer.
     """
     count = np.diff(found.offsets)
-    number = np.where(count > 0, np.maximum(count - K + 1, 1), 0)
+    number = np.where(count > 0, np.maximum(count - k + 1, 1), 0)
     offsets = np.concatenate([[0], np.cumsum(number)])
     row = np.repeat(np.arange(len(count)), number)
     start = np.arange(len(row)) - offsets[row] + found.offsets[row]
-    end = np.minimum(start + K, found.offsets[row + 1])
+    end = np.minimum(start + k, found.offsets[row + 1])
     kmer = span_hashes(prefix_sums(found.hash), start, end)
     return kmer, mix(kmer + occurrences(kmer, row) * BASE2), offsets
 
@@ -93,6 +96,24 @@ def sketches(kmer: np.ndarray, labelled: np.ndarray, offsets: np.ndarray) -> np.
     return out
 
 
+def text_sketches(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of all rows that have a word, one after the other, and how many each row has."""
+    count = np.diff(found.offsets)
+    parts, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for k, fewest, most in SCHEMES:
+        rows = np.flatnonzero((count >= fewest) & (count <= most))
+        if not len(rows):
+            continue
+        n = count[rows]
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        own = found.hash[np.arange(offsets[-1]) + np.repeat(found.offsets[rows] - offsets[:-1], n)]
+        kmer, labelled, heads = kmers(found._replace(hash=own, offsets=offsets), k)
+        parts.append(mix(sketches(kmer, labelled, heads) + _U(k)).ravel())
+        owners.append(np.repeat(rows, SKETCHES))
+    owner = np.concatenate(owners)
+    return np.concatenate(parts)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(count))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, piece in pieces(batch.column(2)):
@@ -104,10 +125,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, last = found.offsets[keep], found.offsets[keep + 1]
             one = span_hashes(prefix_sums(found.hash), first, last)
             two = span_hashes(prefix_sums(found.hash, BASE2), first, last, _SHORT_INV)
-            kmer, labelled, offsets = kmers(found)
-            sketched = sketches(kmer, labelled, np.append(offsets[keep], offsets[-1]))
+            sketched, number = text_sketches(found)
             rows = pa.array(keep)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sketched.size + 1, SKETCHES, dtype=np.int32)), signed(sketched.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(number[keep])]).astype(np.int32)), signed(sketched))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(i, j - i).take(rows), batch.column(1).slice(i, j - i).take(rows), pa.array(count[keep].astype(np.int32)), signed(one), signed(two), lists],
                 names=["doc_id", "row_key", "n", "one", "two", "sketches"],
@@ -270,8 +290,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that have a smaller near duplicate, with the one document of the group that stays.
 
     Result: doc_id, row_key, kept_doc_id, kept_row_key.  A group is a connected component of
-    the pairs whose word edit distance is at most (1 - threshold) times the longer's number of
-    words; the document with the smallest (doc_id, row_key) stays.  Texts of the same words
+    the pairs with a common sketch whose word edit distance is at most (1 - threshold) times the longer's number of
+    words; the document with the smallest (doc_id, row_key) stays.  So a group never has a pair
+    too many, but a pair near the bound may lack a common sketch; ``SCHEMES`` has the shares.  Texts of the same words
     are always in one group.
 
     Rows whose doc_id or text is null, and texts without a word, take no part.  Repeated rows

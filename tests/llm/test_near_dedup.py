@@ -2,10 +2,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from probitas.llm.common import pieces, words
 from probitas.llm.components import components
-from probitas.llm.near_dedup import THRESHOLD, allowed_edits, banded_distance, drop_near_duplicates, kmers, near_duplicates, sketches
+from probitas.llm.near_dedup import THRESHOLD, allowed_edits, banded_distance, drop_near_duplicates, near_duplicates, text_sketches
 
 
 def distance(a, b):
@@ -74,18 +75,47 @@ def test_recall_against_brute_force(make, prose):
     assert all(top(a) == top(b) for a, b in found.items())
 
 
-def test_pairs_at_the_threshold_collide():
-    rnd = random.Random(6)
+@pytest.mark.parametrize("rate, least", [(0.1, 0.999), (0.2, 0.95), (0.25, 0.92)])
+@pytest.mark.parametrize("n", [4, 8, 9, 12, 30, 41, 60, 200, 1000])
+def test_share_of_pairs_that_collide(n, rate, least):
+    rnd = random.Random(n)
     texts = []
-    for k in range(600):
-        a = [f"v{rnd.randrange(5000)}" for _ in range(200)]
+    for _ in range(300):
+        a = [f"v{rnd.randrange(5000)}" for _ in range(n)]
         b = list(a)
-        for i in rnd.sample(range(200), rnd.randint(40, 50)):
-            b[i] = f"x{rnd.randrange(99999)}"
-        texts += [" ".join(a), " ".join(b)]
+        for i in sorted(rnd.sample(range(n), int(rate * n)), reverse=True):
+            what = rnd.random()
+            if what < 0.8:
+                b[i] = f"x{rnd.randrange(99999)}"
+            elif what < 0.9:
+                del b[i]
+            else:
+                b.insert(i, f"x{rnd.randrange(99999)}")
+        texts += [" ".join(a), " ".join(b)]  # as many edits as the bound allows, or fewer
     [(_, _, piece)] = pieces(pa.array(texts), 1 << 24)
-    table = sketches(*kmers(words(piece)))
-    assert (table[::2] == table[1::2]).any(axis=1).mean() >= 0.95
+    values, number = text_sketches(words(piece))
+    lists = [set(x) for x in np.split(values, np.cumsum(number)[:-1])]
+    together = [bool(x & y) for x, y in zip(lists[::2], lists[1::2], strict=True)]
+    assert len(together) == 300 and sum(together) >= least * 300
+
+
+def test_short_texts_agree_with_brute_force(make):
+    rnd = random.Random(12)
+    rows = [(k, " ".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 9)))) for k in range(120)]
+    words_ = [t.split() for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if distance(words_[i], words_[j]) <= allowed_edits(max(len(words_[i]), len(words_[j])), THRESHOLD):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    found = groups(make(rows))
+    assert sum(found.get(k, k) == top(k) for k in range(len(rows))) >= 0.97 * len(rows)
 
 
 def test_order_matters(make, prose):
