@@ -12,6 +12,8 @@ documents often have a few good lines.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,6 +26,7 @@ from .common import BASE2, Pieces, pieces, prefix_sums, solid_bytes, span_hashes
 TRAINING_DOCS = 2000
 CONTENT_SHARE = 0.5
 _CUT = 64  # lines of a training sequence
+_TOGETHER = 24  # texts that are worth a step together
 
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[65:91] = 1  # upper case
@@ -118,12 +121,15 @@ class Field:
     def scores(self, features: np.ndarray) -> np.ndarray:
         return self.emission[features].sum(axis=1)
 
-    def decode(self, scores: np.ndarray) -> list[int]:
-        """The labels of one text's lines by Viterbi; ties go to content."""
+    def decode(self, scores: np.ndarray, before: tuple[float, float] | None = None) -> list[int]:
+        """The labels of one text's lines by Viterbi; ties go to content.
+
+        before: the scores of both labels for the line before these; its label is then the first.
+        """
         (t00, t01), (t10, t11) = self.transition.tolist()
-        back, a, b = [], 0.0, 0.0
+        back, (a, b) = [], before or (0.0, 0.0)
         for k, s in enumerate(scores.tolist()):
-            if k:
+            if k or before:
                 to0 = a + t00 > b + t10
                 to1 = a + t01 > b + t11
                 back.append((not to0, not to1))
@@ -134,7 +140,45 @@ class Field:
         for step in reversed(back):
             label = int(step[label])
             out.append(label)
-        return out[::-1][: len(scores)]
+        return out[::-1][: len(scores) + bool(before)]
+
+    def decode_all(self, scores: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """``decode`` for many texts at once: text k has the lines heads[k] to heads[k + 1].
+
+        All texts go on line by line together; the few longest, whose lines are more than those of
+        nearly all others, go on alone.
+        """
+        (t00, t01), (t10, t11) = self.transition.tolist()
+        n = np.diff(heads)
+        order = np.argsort(-n, kind="stable")
+        begin, n = heads[:-1][order], n[order]
+        reach = np.searchsorted(-n, -np.arange(int(n[0]) + 1 if len(n) else 1), side="left")  # texts with more than so many lines
+        a, b = np.zeros(len(n)), np.zeros(len(n))
+        back = np.zeros((2, len(scores)), dtype=bool)
+        step = 0
+        while step < len(reach) and reach[step] >= _TOGETHER:
+            k = reach[step]
+            at = begin[:k] + step
+            if step:
+                x, y = a[:k].copy(), b[:k].copy()
+                from0, from1 = x + t00 > y + t10, x + t01 > y + t11
+                back[0, at], back[1, at] = ~from0, ~from1
+                a[:k], b[:k] = np.where(from0, x + t00, y + t10), np.where(from1, x + t01, y + t11)
+            b[:k] += scores[at]
+            step += 1
+        label = b >= a
+        out = np.empty(len(scores), dtype=bool)
+        for k in range(int(reach[step]) if step < len(reach) else 0):
+            tail = scores[begin[k] + step : begin[k] + n[k]]
+            alone = self.decode(tail, (float(a[k]), float(b[k])) if step else None)
+            out[begin[k] + step : begin[k] + n[k]] = alone[1:] if step else alone
+            label[k] = alone[0]
+        for at_step in range(step - 1, -1, -1):
+            k = reach[at_step]
+            at = begin[:k] + at_step
+            out[at] = label[:k]
+            label[:k] = np.where(label[:k], back[1, at], back[0, at])
+        return out
 
     def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.15, penalty: float = 1e-5) -> Field:
         """Maximise the penalised conditional likelihood of (features, labels) sequences with Adam."""
@@ -179,25 +223,35 @@ class Field:
         return Field(weights[: FEATURES + 1], weights[FEATURES + 1 :].reshape(2, 2))
 
 
+def _row_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, quality, text) to the features of the lines, a byte each."""
+    for batch in batches:
+        for i, j, piece in pieces(batch.column(2)):
+            features, _, _, lines = line_features(piece)
+            data = [features[a:b].astype(np.uint8).tobytes() for a, b in zip(lines[:-1].tolist(), lines[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(data, pa.binary())], names=["doc_id", "quality", "lines"])
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> Field:
     """A field fitted to ``most`` labelled documents, the first by a hash of their id.
 
-    Labels whose quality is null are left out.  Without documents of both qualities the field
+    Labels whose quality is null are left out.  Of documents with one id the smallest text
+    counts.  Only the features of lines come to the driver.  Without documents of both qualities the field
     marks every line as content.
     """
     chosen = (
         labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    rows = (
-        docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toArrow()
-    )
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    rows = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(_row_lines, "doc_id bigint, quality int, lines binary").toArrow().sort_by("doc_id")
     quality = rows["quality"].to_numpy()
     if len(set(quality.tolist())) < 2:
         return Field()
     parts = []
-    for i, _, piece in pieces(rows["text"]):
-        features, _, _, lines = line_features(piece)
-        parts += [(features[lines[k] : lines[k + 1]], int(quality[i + k])) for k in range(len(lines) - 1) if lines[k + 1] > lines[k]]
+    for lines, good in zip(rows["lines"], quality.tolist(), strict=True):
+        features = np.frombuffer(lines.as_buffer(), dtype=np.uint8).reshape(-1, len(_BINS) + len(_FLAGS)).astype(np.int64)
+        if len(features):
+            parts.append((features, good))
     if not parts:
         return Field()
     alone = Field().fit([(line[None], np.array([good])) for features, good in parts for line in features])
@@ -222,12 +276,13 @@ def assessed(field: Field, text: Column) -> Column:
         total, content, share = [], [], []
         for _, _, piece in pieces(texts):
             features, n, _, lines = line_features(piece)
-            scores = fitted.scores(features)
-            for a, b in zip(lines[:-1].tolist(), lines[1:].tolist(), strict=True):
-                marks = np.array(fitted.decode(scores[a:b]), dtype=bool) if b > a else np.zeros(0, bool)
-                total.append(b - a)
-                content.append(int(marks.sum()))
-                share.append(round(float(n[a:b][marks].sum() / max(1, n[a:b].sum())), 6))
+            marks = np.concatenate([[0], np.cumsum(fitted.decode_all(fitted.scores(features), lines))])
+            words_ = np.concatenate([[0], np.cumsum(n)])
+            in_content = np.concatenate([[0], np.cumsum(n * np.diff(marks))])
+            a, b = lines[:-1], lines[1:]
+            total += (b - a).tolist()
+            content += (marks[b] - marks[a]).tolist()
+            share += np.round((in_content[b] - in_content[a]) / np.maximum(1, words_[b] - words_[a]), 6).tolist()
         return pa.StructArray.from_arrays([pa.array(total, pa.int32()), pa.array(content, pa.int32()), pa.array(share, pa.float64())], names=["lines", "content_lines", "content_share"])
 
     return assess(text)

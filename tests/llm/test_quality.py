@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -93,14 +95,87 @@ def test_classifier_on_held_out_documents(spark, make, prose):
     assert sum(d in kept for d in bad) <= 0.15 * len(bad)
 
 
-def test_threshold_is_the_quantile():
-    texts = pa.chunked_array([[f"word{k} text{k % 7} more" if k % 2 else f"### {k} %%%" for k in range(200)]])
-    preferred = np.arange(200) % 2 == 1
-    model = C.fit(texts, preferred)
-    scores = np.concatenate([model.scores(p) for _, _, p in pieces(texts)])
-    assert scores[preferred].min() > scores[~preferred].max()
-    # the likelihood of preference pairs rises along differences only: a constant feature has no weight
-    assert np.isclose(model.scores(next(pieces(pa.array([""])))[2])[0], model.scores(next(pieces(pa.array([""])))[2])[0])
+def test_all_texts_together_are_decoded_like_each(monkeypatch):
+    rng = np.random.default_rng(4)
+    for together in (1, 3, 24):
+        monkeypatch.setattr(R, "_TOGETHER", together)
+        for _ in range(20):
+            field = R.Field(transition=rng.normal(size=(2, 2)))
+            n = rng.choice([0, 1, 2, 5, 9, 60], size=40)
+            heads = np.concatenate([[0], np.cumsum(n)])
+            scores = np.round(rng.normal(size=heads[-1]), 1)
+            got = field.decode_all(scores, heads)
+            assert [got[a:b].astype(int).tolist() for a, b in itertools.pairwise(heads)] == [field.decode(scores[a:b]) for a, b in itertools.pairwise(heads)]
+    assert not len(field.decode_all(np.zeros(0), np.zeros(1, np.int64)))
+
+
+def sample(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([True] * len(texts)), pa.array(texts)], names=["doc_id", "preferred", "text"])
+    return C._sample(pa.Table.from_batches(list(C._row_features(iter([batch])))))
+
+
+def test_threshold_is_the_quantile(spark, make, prose):
+    docs, labels = corpus(prose, 300)
+    model = C.train(*tables(spark, make, docs, labels), most=200, held_out=100)
+    open_ = model._replace(threshold=-np.inf)
+    scores = {r.doc_id: r.score for r in C.good_documents(make(docs), open_).collect()}
+    from pyspark.sql import functions as F
+
+    order = [r.doc_id for r in spark.createDataFrame(labels, "doc_id bigint, q int, t int").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    held_out = sorted(scores[d] for d in order[200:] if labels[d][1] and not labels[d][2])
+    assert len(held_out) > 40 and model.threshold == held_out[int(C.REJECTED * (len(held_out) - 1))]
+    strict = C.train(*tables(spark, make, docs, labels), most=200, held_out=100, rejected=0.5)
+    assert strict.threshold == held_out[int(0.5 * (len(held_out) - 1))]
+    kept = {r.doc_id for r in C.good_documents(make(docs), strict).collect()}
+    assert kept == {d for d, s in scores.items() if s >= strict.threshold}
+
+
+def test_fit_agrees_with_a_version_in_plain_python():
+    """Adam on the logistic loss of pairs, a feature at a time, in dictionaries."""
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("ab" if k % 2 else "bc") + str(rnd.randrange(4)) for _ in range(12)) + "." * (k % 3) for k in range(30)]
+    preferred = np.arange(30) % 2 == 1
+    data = sample(texts)
+    model = C.fit(data, preferred, steps=20)
+    rng = np.random.default_rng(3)
+    bad, good = [k for k in range(30) if not preferred[k]], [k for k in range(30) if preferred[k]]
+    losers = [k for k in bad for _ in range(C.PARTNERS)]
+    winners = [int(x) for x in rng.choice(np.array(good), len(losers))]
+    mean = [sum(col) / 30 for col in zip(*data.shape.tolist(), strict=True)]
+    scale = [math.sqrt(sum((x - m) ** 2 for x in col) / 30) + 1e-6 for col, m in zip(zip(*data.shape.tolist(), strict=True), mean, strict=True)]
+    rows = [{("shape", j): max(-8.0, min(8.0, (x - mean[j]) / scale[j])) for j, x in enumerate(row)} for row in data.shape.tolist()]
+    seen = Counter(data.buckets.tolist())
+    for bucket, weight, row in zip(data.buckets.tolist(), data.weights.tolist(), data.row.tolist(), strict=True):
+        if seen[bucket] >= C.LEAST_DOCS:
+            rows[row][bucket] = rows[row].get(bucket, 0.0) + weight * 8
+    w = dict.fromkeys({f for r in rows for f in r}, 0.0)
+    first, second = dict(w), dict(w)
+    for step in range(1, 21):
+        score = [sum(w[f] * x for f, x in r.items()) for r in rows]
+        gradient = {f: -3e-4 * v for f, v in w.items()}
+        for a, b in zip(winners, losers, strict=True):
+            push = 1 / (1 + math.exp(score[a] - score[b])) / len(losers)
+            for sign, r in ((1, rows[a]), (-1, rows[b])):
+                for f, x in r.items():
+                    gradient[f] += sign * push * x
+        for f, g in gradient.items():
+            first[f] = 0.9 * first[f] + 0.1 * g
+            second[f] = 0.999 * second[f] + 0.001 * g * g
+            w[f] += 0.05 * (first[f] / (1 - 0.9**step)) / (math.sqrt(second[f] / (1 - 0.999**step)) + 1e-8)
+    expected = [sum(w[f] * x for f, x in r.items()) for r in rows]
+    assert np.allclose(data.scores(model), expected, rtol=1e-4, atol=1e-4) and len(w) > len(C.SHAPES) + 10
+    [(_, _, piece)] = pieces(pa.array(texts))
+    assert np.allclose(model.scores(piece), expected, rtol=1e-4, atol=1e-4)
+    assert min(np.array(expected)[preferred]) > max(np.array(expected)[~preferred])
+
+
+def test_documents_of_one_id_are_one_for_training(spark, make, prose):
+    docs, labels = corpus(prose, 60)
+    labelled = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    many = [*docs, *[(3, docs[3][1])] * 500, (3, "~ larger text")]
+    once, again = (R.train(make(d), labelled) for d in (docs, many))
+    assert np.array_equal(once.emission, again.emission) and np.array_equal(once.transition, again.transition)
+    assert np.array_equal(C.train(make(docs), labelled).word, C.train(make(many), labelled).word)
 
 
 def test_pieces_do_not_change_results(prose):
