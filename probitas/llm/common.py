@@ -8,6 +8,7 @@ rows only, so one very long text is one piece.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -31,11 +32,15 @@ _BYTE = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint6
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    A temporary one is set only where that setting is missing, as in local tests.
+    A temporary one is set only where that setting is missing and Spark runs in one process, as
+    in tests; on a cluster the executors wouldn't share it, so the setting is asked for.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="probitas-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("A cluster needs spark.checkpoint.dir, a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="probitas-checkpoint-"))
     return context.getCheckpointDir()
 
 

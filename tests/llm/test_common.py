@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -75,3 +76,22 @@ def test_cut_and_table(spark, make):
 def test_row_keys(make):
     keys = {(r.doc_id, r.row_key) for r in with_row_key(make([(1, "a"), (1, "a"), (1, "b"), (None, "a"), (2, None)])).collect()}
     assert len(keys) == 2 and {d for d, _ in keys} == {1}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError, match="share"):
+        checkpoint_dir(Session())
