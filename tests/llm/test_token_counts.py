@@ -1,8 +1,12 @@
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from probitas.llm import token_counts as T
+from probitas.llm.common import pieces
 
 pytestmark = pytest.mark.skipif(not Path(T.VOCABULARY).exists(), reason="no vocabulary here")
 
@@ -17,6 +21,29 @@ def test_counts_equal_encoding_whole_texts(make, prose):
         assert found[k].whole_tokens <= found[k].pretokens <= found[k].tokens
 
 
+ODD = "  \n\t'strevmdlSTRE’a1.9 　é́٣中\U0001f600\x1c\x85​"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(ODD), st.characters(exclude_categories=["Cs"])), max_size=30), max_size=5))
+def test_splitting_all_rows_together_is_splitting_each(texts):
+    import regex
+
+    parts = []
+    for _, _, piece in pieces(pa.array(texts, pa.string())):
+        text, points, offsets = T.code_points(piece)
+        if len(points):
+            start = T.split_points(points, offsets).tolist()
+            parts += [text[a:b] for a, b in zip(start, [*start[1:], len(text)], strict=True)]
+    assert parts == [x for t in texts for x in regex.findall(T.PATTERN, t)]
+
+
+def test_other_patterns(make, prose):
+    same = T.PATTERN.replace("'s|", "(?:'s)|")
+    df = make(list(enumerate([prose(200, 3), "don't 12 y'all  \n", "中文 é"])))
+    assert sorted(map(tuple, T.token_counts(df, pattern=same).collect())) == sorted(map(tuple, T.token_counts(df).collect()))
+
+
 def test_whole_tokens_are_proved_and_merging_is_right():
     ranks = T.load_ranks(Path(T.VOCABULARY).read_bytes())
     encoding = T._encoding(ranks, T.PATTERN)
