@@ -667,7 +667,7 @@ def imputed_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(
     " union all ".join(
-        f"select '{kind}' as connector, cast(count(*) as double) as n, round(sum(n_nationkey), 4) as keys, cast(max(length(n_name)) as double) as longest from nation{where}"
+        f"select '{kind}' as connector, cast(count(*) as double) as n, round(cast(sum(n_nationkey) as double), 4) as keys, cast(max(length(n_name)) as double) as longest from nation{where}"
         for kind, where in (("arrow", ""), ("csv", ""), ("json", ""), ("orc", ""), ("parquet", ""), ("function", " where n_regionkey <> 2"), ("union", ", range(2)"))
     )
 )
