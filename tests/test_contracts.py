@@ -192,3 +192,18 @@ def test_wrong_odcs():
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         assert odcs("      - {name: a}\n").rules == ()
+
+
+def test_approximate_metrics(spark):
+    text = """
+  - name: id
+    type: int
+    checks:
+      - {type: cardinality, name: k, approximate: true, between: [90, 110]}
+      - {type: percentile, name: p, percentile: 0.5, approximate: true, between: [45, 55]}
+      - {type: percentile, name: q, percentile: 0.5, equals: 49.5}
+"""
+    got = outcome(spark, [(k,) for k in range(100)], "id int", text)
+    assert {s for s, _ in got.values()} == {"PASSED"} and len(got) == 3
+    with pytest.raises(ContractValidationError, match="approximate"):
+        contract(text.replace("approximate: true", "approximate: 1"))
