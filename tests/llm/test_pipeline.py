@@ -126,8 +126,15 @@ def test_stages_and_run_agree_with_brute_force(spark, corpus):
         if name == "line_dedup":
             assert {r.doc_id: r.text for r in docs.collect()} == {d: t for d, (t, _) in texts.items()}
     assert all(a > b for a, b in zip(sizes, sizes[1:], strict=False)), sizes
-    rows = Counter((r.source, r.block, r.doc_id, r.first_token, r.end_token) for r in P.run(spark, corpus).collect())
+    result = P.run(spark, corpus).collect()
+    rows = Counter((r.source, r.block, r.doc_id, r.first_token, r.end_token) for r in result)
     assert rows == mixture and sum(rows.values()) > 5
+    # the mixture can be written from the result alone
+    assert all(r.text.split() == texts[r.doc_id][0].split()[r.first_token : r.end_token] for r in result)
+    sizes = Counter()
+    for r in result:
+        sizes[r.source, r.block] += len(r.text.split())
+    assert set(sizes.values()) == {BLOCK}
 
 
 def test_stages_are_named_and_survive_empty_tables(spark, corpus, tmp_path):
