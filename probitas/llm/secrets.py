@@ -16,7 +16,7 @@ reported only if its structure holds when decoded:
 
 Signed tokens, vendor tokens, access key ids and keys in DER or OpenSSH form may begin anywhere
 in a run, also within a URL or path; base64 of a key that is wrapped over lines without armour is
-joined.  The two assigned kinds are whole runs, or what stands behind the last = of one.
+joined.  A header of a signed token may have any length.  The two assigned kinds are whole runs, or what stands behind the last = of one.
 
 ``shortest`` is the least length of a run that is looked at, and an assignment is looked for in
 the ``look_back`` bytes before a run.  The scan is linear in the text: marks of armour are paired in one pass, and a position within a run is
@@ -60,8 +60,8 @@ _VENDOR = re.compile(rb"(?<![0-9A-Za-z])(?:(?:ghp|gho|ghu|ghs|ghr)_|npm_)[0-9A-Z
 _ACCESS = re.compile(rb"(?<![0-9A-Za-z])(?:AKIA|ASIA)[A-Z2-7]{16}(?![0-9A-Za-z])")
 _TOKEN_HEAD = re.compile(rb"(?<![0-9A-Za-z])eyJ")
 _TOKEN_REST = re.compile(rb"\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-#: Longest header of a signed token, in characters.
-_LONGEST_HEAD = 4096
+#: What tells where the object that ends a text begins.
+_NESTING = re.compile(rb"\\+|[\"{}\[\]]")
 #: Where a key may begin within a run: the first byte of DER is 0x30.
 _KEY_START = re.compile(rb"(?<![0-9A-Za-z+])(?:M[A-P]|30[0-9A-Fa-f]{8}|b3BlbnNzaC1rZXktdjE)")
 _WRAPPED = re.compile(rb"^[ \t>]*((?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{38,}(?:\r?\n[ \t>]*[A-Za-z0-9+/]{40,})*\r?\n[ \t>]*[A-Za-z0-9+/]+={0,2})(?![A-Za-z0-9+/=])", re.MULTILINE)
@@ -130,20 +130,34 @@ def der_private_key(data: bytes) -> str | None:
     return None
 
 
-def openssh_private_key(data: bytes) -> bool:
-    """Whether the lengths in an openssh-key-v1 container fill it exactly."""
+class _Lazy:
+    """The bytes that the base64 text[start:end] stands for, of which only the slices asked for are decoded."""
+
+    def __init__(self, text: bytes, start: int, end: int) -> None:
+        self.text, self.start, self.end = text, start, end
+
+    def __len__(self) -> int:
+        return (self.end - self.start) * 3 // 4
+
+    def __getitem__(self, part: slice) -> bytes:
+        first = part.start or 0
+        from_, to = self.start + first // 3 * 4, self.start + -(-part.stop // 3) * 4
+        return (decoded(self.text[from_ : min(to, self.end)]) or b"")[first % 3 :][: part.stop - first]
+
+
+def openssh_private_key(data: bytes | _Lazy) -> bool:
+    """Whether the lengths in an openssh-key-v1 container fill it exactly; only they are looked at."""
     magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if data[: len(magic)] != magic:
         return False
     i = len(magic)
 
-    def string() -> bytes:
+    def string() -> None:
         nonlocal i
         size = int.from_bytes(data[i : i + 4], "big")
         if i + 4 + size > len(data):
             raise ValueError
         i += 4 + size
-        return data[i - size : i]
 
     try:
         for _ in range(3):
@@ -212,15 +226,54 @@ def random_looking(data: bytes) -> bool:
 Hit = tuple[int, int, str, str]
 
 
+def _object_start(data: bytes) -> int | None:
+    """Where the JSON object begins that ``data`` ends with, if there is one; one pass.
+
+    Read from the end, a quote opens or closes a string unless an odd number of backslashes
+    stands before it, and the object begins where its last brace is matched: at one place only.
+    """
+    depth, inside = 0, False
+    marks = [(m.start(), m[0]) for m in _NESTING.finditer(data)]
+    for k in range(len(marks) - 1, -1, -1):
+        at, mark = marks[k]
+        if mark == b'"':
+            before, slashes = marks[k - 1] if k else (0, b"")
+            if not (slashes[:1] == b"\\" and before + len(slashes) == at and len(slashes) % 2):
+                inside = not inside
+        elif inside or mark[:1] == b"\\":
+            continue
+        elif mark in b"}]":
+            depth += 1
+        else:
+            depth -= 1
+            if depth <= 0:
+                return at if depth == 0 and mark == b"{" else None
+    return None
+
+
 def _signed(text: bytes, start: int, end: int) -> Hit | None:
-    """The signed token whose header ends with the run text[start:end]."""
+    """The signed token whose header, of any length, ends with the run text[start:end].
+
+    Headers that begin a multiple of four characters apart are the ends of one decoded text, of
+    which one at most is an object; so three texts are decoded, however many may be headers.
+    """
     rest = _TOKEN_REST.match(text, end)
     if not rest:
         return None
-    start = max(start, end - _LONGEST_HEAD, max(text.rfind(c, start, end) + 1 for c in (b"/", b"=", b"+")))
-    for head in _TOKEN_HEAD.finditer(text, start, end):
-        if algorithm := signed_token(text[head.start() : end], *rest.groups()):
-            return head.start(), rest.end(), "signed_token", algorithm
+    start = max(start, *(text.rfind(c, start, end) + 1 for c in (b"/", b"=", b"+")))
+    first: dict[int, int] = {}
+    heads = {m.start() for m in _TOKEN_HEAD.finditer(text, start, end)}
+    for head in sorted(heads):
+        first.setdefault((end - head) % 4, head)
+    begins = []
+    for head in first.values():
+        data = decoded(text[head:end])
+        at = _object_start(data) if data else None
+        if at is not None and at % 3 == 0 and head + at // 3 * 4 in heads:
+            begins.append(head + at // 3 * 4)
+    for head in sorted(begins):
+        if algorithm := signed_token(text[head:end], *rest.groups()):
+            return head, rest.end(), "signed_token", algorithm
     return None
 
 
@@ -262,12 +315,11 @@ def confirmed(text: bytes, start: int, end: int, shortest: int = SHORTEST, look_
     value = start + run.rfind(b"=") + 1
     if value > start and end - value >= shortest and (hit := _key(text, value, end, look_back)):
         return [hit]
-    opened = False
     for m in _KEY_START.finditer(text, start + 1, end):
         if m[0].startswith(b"b3"):
-            if not opened and (data := decoded(text[m.start() : end])) and openssh_private_key(data):
+            stop = start + len(run)
+            if m.start() >= value and (stop - m.start()) % 4 != 1 and openssh_private_key(_Lazy(text, m.start(), stop)):
                 return [(m.start(), end, "openssh_private_key", "openssh")]
-            opened = True
         elif form := _der_at(text, m.start(), end, m[0].startswith(b"30")):
             return [(m.start(), end, "der_private_key", form)]
     return []

@@ -7,6 +7,8 @@ import re
 import time
 import zlib
 
+import pytest
+
 from probitas.llm.secrets import _BASE62, confirmed_secrets, secrets_of
 
 RND = random.Random(3)
@@ -110,6 +112,59 @@ def test_keys_wrapped_without_armour(make):
     assert found(make(rows)) == [(k, 4, 4 + len(texts[k]), kind) for k, kind in enumerate(("der_private_key", "der_private_key", "openssh_private_key"))]
 
 
+def token(header):
+    return ".".join([b64u(json.dumps(header).encode()), b64u(b'{"sub": "1"}'), b64u(rand(32))])
+
+
+@pytest.mark.parametrize("certificates", [0, 3, 40])
+def test_headers_of_signed_tokens_have_any_length(make, certificates):
+    """A chain of certificates stands in the header; 40 make one of some 70,000 characters."""
+    secret = token({"alg": "HS256", "x5c": [base64.b64encode(rand(900)).decode() for _ in range(certificates)], "kid": '"}{\\\\\\"['})
+    before = ["", "see https://host/verify/", "eyJ-eyJhbGciOi-", "eyJ_", "x-", "eyJh-eyJhb-eyJhbG_"]
+    rows = [(k, f"{text}{secret} end") for k, text in enumerate(before)]
+    assert found(make(rows)) == [(k, len(text), len(text) + len(secret), "signed_token") for k, text in enumerate(before)]
+
+
+def test_heads_of_signed_tokens_agree_with_trying_each():
+    """Each place where a header may begin is decoded and parsed by itself."""
+    rnd = random.Random(11)
+    seen = set()
+    for _ in range(3000):
+        inner = rnd.choice([{}, {"a": {"b": [1, {"c": '}"{'}]}}, {"k": "\\\\"}, {"~~>": "?>~{\"alg"}])
+        header = b64u(json.dumps({**inner, "alg": rnd.choice(["HS256", "none"])}).encode() + rnd.choice([b"", b" ", b"}", b'"']))
+        junk = "".join(rnd.choice(["eyJ", "-", "_", "eyJhbGciOi", "A", "/", b64u(b'{"x":"'), b64u(b'{"alg":"HS256"}')]) for _ in range(rnd.randint(0, 6)))
+        run, rest = junk + header, f".{b64u(b'{}')}.{b64u(rand(32))}"
+        expected = None
+        for m in re.finditer(r"(?<![0-9A-Za-z])eyJ", run):
+            try:
+                head = json.loads(base64.urlsafe_b64decode(run[m.start() :] + "=" * (-(len(run) - m.start()) % 4)))
+            except ValueError:
+                continue
+            if "/" not in run[m.start() :] and isinstance(head, dict) and head.get("alg") == "HS256":
+                expected = (m.start(), len(run + rest), "signed_token", "HS256")
+                break
+        got = [h for h in secrets_of((run + rest).encode(), [(0, len(run))]) if h[2] == "signed_token"]
+        assert got == [expected] * (expected is not None), run
+        seen.add(expected and expected[0] > 0)
+    assert seen == {None, False, True}
+
+
+def test_openssh_key_behind_false_beginnings(make):
+    key = base64.b64encode(OPENSSH).decode()
+    rows = [(k, f"b3BlbnNzaC1rZXktdjE{text}{key} end") for k, text in enumerate(("/", "/b3BlbnNzaC1rZXktdjE-b3BlbnNzaC1rZXktdjEA/", "=/"))]
+    assert found(make(rows)) == [(k, len(text) - len(key) - 4, len(text) - 4, "openssh_private_key") for k, text in rows]
+
+
+def test_time_grows_with_the_length_of_hostile_heads():
+    def seconds(text):
+        began = time.process_time()
+        secrets_of(text + b".e30.c2ln", [(0, len(text))])
+        return time.process_time() - began
+
+    for line in (b"-eyJhbGciOi", b"-" + base64.urlsafe_b64encode(b'{"a":{"a":'), b"_eyJhIjp7", b"/b3BlbnNzaC1rZXktdjEA"):
+        assert seconds(line * 40_000) < 10 * max(seconds(line * 10_000), 0.1), line
+
+
 def test_time_grows_with_the_length_of_hostile_texts():
     def seconds(text):
         spans = [m.span() for m in re.finditer(rb"[A-Za-z0-9+/_=-]{16,}", text)]
