@@ -6,8 +6,14 @@ P(a is preferred to b) = 1 / (1 + exp(score(b) - score(a))); the weights maximis
 likelihood of preference pairs of labelled documents, with a penalty on their squares.  A
 document of quality 1 that isn't toxic is preferred to one of quality 0 or one that is toxic.
 
+All labelled documents take part.  The weights are fitted to two thirds of them, split by a hash of
+the id into blocks that one task can hold: each block is fitted by itself, with the scaling and the
+vocabulary of all, and a weight is the mean of the blocks' ones, each counted as often as the
+feature occurs there (Zhang, Duchi, Wainwright, Communication-efficient algorithms for statistical
+optimization, 2013).  Up to ``BLOCK_DOCS`` documents are one block, which is the plain fit.
+
 Documents stay from a score quantile on: the threshold is the ``REJECTED`` quantile of the
-scores of the preferred documents that the weights weren't fitted to.  So the share of good
+scores of the preferred documents among the other third.  So the share of good
 documents lost is set, and that of bad ones follows from the scores.
 """
 
@@ -22,11 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import _U, BASE2, Pieces, byte_values, lowered, pieces, prefix_sums, span_hashes, words
+from .common import _U, BASE2, Pieces, byte_values, cut, lowered, pieces, prefix_sums, span_hashes, table, words
+from .decontamination import _filter
 
-#: Labelled documents, at most: to fit the weights, and to find the threshold.
-TRAINING_DOCS = 6000
-HELD_OUT_DOCS = 2000
+#: Documents, and bytes of text, of a block that is fitted in one task, on average.
+BLOCK_DOCS = 6000
+BLOCK_BYTES = 1 << 24
+#: Documents of either side that a block has, on average at least; scarcer ones are in several blocks.
+BLOCK_SIDE = 100
 #: Share of the preferred documents below the threshold.
 REJECTED = 0.01
 PARTNERS = 8
@@ -150,6 +159,17 @@ def _row_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def _text_sample(texts: pa.Array) -> Sample:
+    """The features of texts, in their order."""
+    parts = []
+    for i, j, piece in pieces(texts):
+        shape, buckets, weights, heads = features(piece)
+        there = np.flatnonzero(weights > 0)
+        row = np.repeat(np.arange(i, j, dtype=np.int32), np.diff(heads))
+        parts.append(Sample(shape, buckets[there].astype("<i4"), weights[there], row[there]))
+    return Sample(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
 def _sample(rows: pa.Table) -> Sample:
     flat = lambda name, kind: np.frombuffer(b"".join(x.as_buffer() for x in rows[name]), dtype=kind)
     lengths = [len(x.as_buffer()) // 4 for x in rows["buckets"]]
@@ -159,15 +179,27 @@ def _sample(rows: pa.Table) -> Sample:
     return Sample(flat("shape", "<f8").reshape(-1, len(SHAPES)), buckets[there], flat("weights", "<f8")[there // (1 + len(BEGINNINGS))], row[there])
 
 
-def fit(sample: Sample, preferred: np.ndarray, seed: int = 3, steps: int = 250, rate: float = 0.05, penalty: float = 3e-4) -> Model:
-    """Weights for the documents given; preferred is True for the better ones.  The threshold is left open."""
+class Whole(NamedTuple):
+    """Of all training documents: mean and spread of the shapes, and the buckets that count."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    known: np.ndarray
+
+
+def fit(sample: Sample, preferred: np.ndarray, seed: int = 3, steps: int = 250, rate: float = 0.05, penalty: float = 3e-4, whole: Whole | None = None) -> Model:
+    """Weights for the documents given; preferred is True for the better ones.  The threshold is left open.
+
+    ``whole`` is told where they are a block of more documents.
+    """
     good, bad = np.flatnonzero(preferred), np.flatnonzero(~preferred)
     rng = np.random.default_rng(seed)
     losers = np.repeat(bad, PARTNERS)
     winners = rng.choice(good, len(losers))
-    mean, scale = sample.shape.mean(axis=0), sample.shape.std(axis=0) + 1e-6
+    if whole is None:
+        whole = Whole(sample.shape.mean(axis=0), sample.shape.std(axis=0) + 1e-6, np.bincount(sample.buckets, minlength=1 << BITS) >= LEAST_DOCS)
+    mean, scale, known = whole
     shape = ((sample.shape - mean) / scale).clip(-8, 8)
-    known = np.bincount(sample.buckets, minlength=1 << BITS) >= LEAST_DOCS
     used = np.flatnonzero(known)
     place = np.zeros(1 << BITS, dtype=np.int32)
     place[used] = np.arange(len(used))
@@ -190,38 +222,135 @@ def fit(sample: Sample, preferred: np.ndarray, seed: int = 3, steps: int = 250,
     return Model(mean, scale, w[:d], word, -np.inf)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS, held_out: int = HELD_OUT_DOCS, rejected: float = REJECTED) -> Model:
-    """Fit the weights to ``most`` labelled documents and the threshold to ``held_out`` others, each the first by a hash of their id.
+#: Slots of sums beside the buckets: documents, preferred ones, bytes, then the shapes and their squares.
+_BESIDE = 3 + 2 * len(SHAPES)
+#: Sums are of integers, so they don't depend on the order: fractions of shapes, and of weights.
+_PARTS, _FINE = 1 << 24, 1 << 32
+
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(preferred, text) to the sums of a partition: slot, total."""
+    sums = np.zeros((1 << BITS) + _BESIDE, dtype=np.int64)
+    beside = sums[1 << BITS :]
+    for batch in batches:
+        beside[0] += len(batch)
+        beside[1] += np.count_nonzero(batch.column(0))
+        for _, _, piece in pieces(batch.column(1)):
+            shape, buckets, weights, _ = features(piece)
+            sums[: 1 << BITS] += np.bincount(buckets[weights > 0], minlength=1 << BITS)
+            beside[2] += len(piece.data)
+            beside[3:] += np.rint(np.concatenate([shape, shape**2], axis=1) * _PARTS).astype(np.int64).sum(axis=0)
+    slot = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sums[slot])], names=["slot", "total"])
+
+
+def _fit_block(rows: pa.Table, whole: Whole) -> pa.Table:
+    """(place, preferred, text) of a block to its weights times their occurrences: slot, product, times."""
+    rows = rows.sort_by("place")
+    preferred = rows["preferred"].to_numpy()
+    if not preferred.any() or preferred.all():
+        return pa.table({x: pa.array([], pa.int64()) for x in ("slot", "product", "times")})
+    sample = _text_sample(rows["text"])
+    occur = np.bincount(sample.buckets, minlength=1 << BITS)
+    model = fit(sample, preferred, whole=whole)
+    used = np.flatnonzero((occur > 0) & whole.known)
+    times = np.concatenate([occur[used], np.full(len(SHAPES), len(rows))])
+    product = np.rint(np.concatenate([model.word[used], model.shape]) * _FINE).astype(np.int64) * times
+    return pa.table({"slot": np.concatenate([used, (1 << BITS) + np.arange(len(SHAPES))]), "product": product, "times": times})
+
+
+def _at_rank(keys: DataFrame, rank: int) -> int:
+    """The key of the rank, from 0, in the one column ``key`` of integers; at most 65,536 of them, or counts of as many, come to the driver."""
+    for shift in (48, 32, 16, 0):
+        part = F.shiftright("key", shift)
+        counts = keys.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("part")
+        n = counts["n"].to_numpy()
+        k = int(np.searchsorted(np.cumsum(n), rank, side="right"))
+        rank -= int(n[:k].sum())
+        keys = keys.where(part == counts["part"][k].as_py())
+        if n[k] <= 1 << 16:
+            break
+    else:
+        return counts["part"][k].as_py()
+    return int(np.sort(keys.toArrow()["key"].to_numpy())[rank])
+
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, preferred, text, place) of each document with a label.  Texts without one aren't shuffled, but for those that a Bloom filter of bounded size lets pass."""
+    chosen = cut(
+        labels.where("doc_id is not null and quality is not null")
+        .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+        .agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("preferred"))
+    )
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(chosen.select(F.xxhash64("doc_id").alias("key"))))
+
+    @arrow_udf("boolean")
+    def has_label(keys: pa.Array) -> pa.Array:
+        return pa.array(sent.value.has(keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(has_label(F.xxhash64("doc_id")))
+    return texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("preferred").alias("preferred"), F.min("text").alias("text")).withColumn("place", F.xxhash64("doc_id"))
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int | None = None, held_out: int | None = None, rejected: float = REJECTED, block: int = BLOCK_DOCS) -> Model:
+    """Fit the weights to two thirds of the labelled documents, the first by a hash of their id, and the threshold to the others.
+
+    All of them count, unless ``most`` and ``held_out`` bound the two; ``block`` is how many are fitted in one task.
     Labels with a null id or quality are left out; a null toxic counts as 0.  Of documents with
-    one id the smallest text counts.  Only features come to the driver, of so many documents at most.  Without documents
+    one id the smallest text counts.  Neither texts nor features come to the driver, but sums by bucket.  Without documents
     on both sides all scores are 0 and all documents stay.  Without preferred documents held
     out, the threshold is found on the training documents.
     """
     empty = Model(np.zeros(len(SHAPES)), np.ones(len(SHAPES)), np.zeros(len(SHAPES)), np.zeros(1 << BITS), -np.inf)
-    chosen = (
-        labels.where("doc_id is not null and quality is not null")
-        .groupBy("doc_id")
-        .agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("preferred"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most + held_out)
-    )
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("preferred").alias("preferred"))
-    rows = (
-        texts.select("doc_id", "preferred", "text")
-        .mapInArrow(_row_features, "doc_id bigint, preferred boolean, shape binary, buckets binary, weights binary")
-        .withColumn("place", F.xxhash64("doc_id"))
+    rows, remove = table(_labelled(docs, labels))
+    try:
+        return _trained(rows, empty, most, held_out, rejected, block)
+    finally:
+        remove()
+
+
+def _trained(rows: DataFrame, empty: Model, most: int | None, held_out: int | None, rejected: float, block: int) -> Model:
+    number = rows.count()
+    if not number:
+        return empty
+    n = min(number if most is None else most, max(2 * number // 3, 1))
+    places = rows.select(F.col("place").alias("key"))
+    last = _at_rank(places, n - 1)
+    training, rest = rows.where(F.col("place") <= last), rows.where(F.col("place") > last)
+    if held_out is not None and n + held_out < number:
+        rest = rest.where(F.col("place") <= _at_rank(places, n + held_out - 1))
+
+    found = training.select("preferred", "text").mapInArrow(_totals, "slot bigint, total bigint").groupBy("slot").agg(F.sum("total").alias("total"))
+    found = found.where((F.col("slot") >= 1 << BITS) | (F.col("total") >= LEAST_DOCS)).toArrow()
+    sums = np.zeros((1 << BITS) + _BESIDE, dtype=np.int64)
+    sums[found["slot"].to_numpy()] = found["total"].to_numpy()
+    good, size = int(sums[(1 << BITS) + 1]), int(sums[(1 << BITS) + 2])
+    if good in (0, n):
+        return empty
+    mean, square = np.split(sums[(1 << BITS) + 3 :] / (n * _PARTS), 2)
+    whole = Whole(mean, np.sqrt(np.maximum(square - mean**2, 0)) + 1e-6, sums[: 1 << BITS] > 0)
+
+    blocks = max(-(-n // block), -(-size // BLOCK_BYTES))
+    copies = lambda side: min(blocks, -(-blocks * BLOCK_SIDE // side))
+    copy = F.explode(F.sequence(F.lit(0), F.when(F.col("preferred"), copies(good)).otherwise(copies(n - good)) - 1))
+    weights = (
+        training.select("place", "preferred", "text", copy.alias("copy"))
+        .withColumn("block", F.pmod(F.xxhash64("place") + F.col("copy"), F.lit(blocks)))
+        .groupBy("block")
+        .applyInArrow(lambda part: _fit_block(part, whole), "slot bigint, product bigint, times bigint")
+        .groupBy("slot")
+        .agg(F.sum("product").alias("product"), F.sum("times").alias("times"))
         .toArrow()
-        .sort_by([("place", "ascending"), ("doc_id", "ascending")])
     )
-    preferred = rows["preferred"].to_numpy()
-    n = min(most, max(2 * len(rows) // 3, 1))
-    if not preferred[:n].any() or preferred[:n].all():
-        return empty
-    model = fit(_sample(rows.slice(0, n)), preferred[:n])
-    rest = slice(n, None) if preferred[n:].any() else slice(0, n)
-    scores = _sample(rows.slice(rest.start, None if rest.stop is None else n)).scores(model)[preferred[rest]]
-    return model._replace(threshold=float(np.quantile(scores, rejected, method="lower")))
+    weight = np.zeros((1 << BITS) + len(SHAPES))
+    weight[weights["slot"].to_numpy()] = weights["product"].to_numpy() / (weights["times"].to_numpy() * float(_FINE))
+    model = Model(whole.mean, whole.scale, weight[1 << BITS :], weight[: 1 << BITS], -np.inf)
+
+    for part in (rest, training):
+        scores = cut(part.where("preferred").select(F.rint(scored(part, model, F.col("text")) * 1_000_000).cast("bigint").alias("key")))
+        if count := scores.count():
+            break
+    return model._replace(threshold=_at_rank(scores, int(rejected * (count - 1))) / 1e6)
 
 
 def scored(docs: DataFrame, model: Model, text: Column) -> Column:

@@ -214,3 +214,81 @@ def test_no_labels_and_no_documents(spark, make, prose):
     assert C.good_documents(df, C.train(df, none)).count() == 10
     assert R.content_documents(make([]), R.train(make([]), none)).collect() == []
     assert C.good_documents(make([]), C.train(make([]), none)).collect() == []
+
+
+def by_place(spark, ids):
+    from pyspark.sql import functions as F
+
+    return [r.doc_id for r in spark.createDataFrame([(k,) for k in ids], "doc_id bigint").orderBy(F.xxhash64("doc_id")).collect()]
+
+
+def test_all_labelled_documents_count(spark, make):
+    """Of 12,000, a bad word is only in some of the last quarter of those that the weights are fitted to, and the held-out ones are 4,000."""
+    rnd = random.Random(2)
+    order = by_place(spark, range(12_000))
+    late = set(order[6_000:8_000])
+    docs, labels = [], []
+    for k in range(12_000):
+        words = [f"{a}{b}" for a, b in zip(rnd.choices("bdfgklmn", k=12), rnd.choices(["aro", "eli", "umo", "ina", "osu"], k=12), strict=True)]
+        toxic = k % 8 == 0
+        if toxic:
+            words[rnd.randrange(12)] = "grimlate" if k in late else "vileword"
+        docs.append((k, " ".join(words)))
+        labels.append((k, 1, int(toxic)))
+    model = C.train(*tables(spark, make, docs, labels))
+    plain = docs[1][1].split()
+    kept = {r.doc_id for r in C.good_documents(make([(1, " ".join(plain)), (2, " ".join([*plain[:5], "grimlate", *plain[6:]])), (3, " ".join([*plain[:5], "vileword", *plain[6:]]))]), model).collect()}
+    assert kept == {1}
+    scores = {r.doc_id: r.score for r in C.good_documents(make(docs), model._replace(threshold=-np.inf)).collect()}
+    held_out = sorted(scores[d] for d in order[8_000:] if d % 8)
+    assert len(held_out) > 3_000 and model.threshold == held_out[int(C.REJECTED * (len(held_out) - 1))]
+
+
+def test_weights_are_the_mean_of_blocks(spark, make, prose, monkeypatch):
+    """Blocks are told by Spark's hash; what is done with them is done again in plain Python."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(C, "BLOCK_SIDE", 1)
+    docs, labels = corpus(prose, 240)
+    model = C.train(*tables(spark, make, docs, labels), block=50)
+    order = by_place(spark, range(240))[:160]
+    places = spark.createDataFrame([(k,) for k in order], "doc_id bigint").select("doc_id", F.pmod(F.xxhash64(F.xxhash64("doc_id")), F.lit(4)).alias("block"))
+    block = {r.doc_id: r.block for r in places.collect()}
+    assert set(block.values()) == {0, 1, 2, 3}
+    good = {k: bool(q and not t) for k, q, t in labels}
+    everything = sample([docs[k][1] for k in order])
+    seen = Counter(everything.buckets.tolist())
+    known = np.array([seen[b] >= C.LEAST_DOCS for b in range(1 << C.BITS)])
+    whole = C.Whole(everything.shape.mean(axis=0), everything.shape.std(axis=0) + 1e-6, known)
+    total, times, shape = Counter(), Counter(), np.zeros(len(C.SHAPES))
+    for b in range(4):
+        mine = [k for k in order if block[k] == b]
+        data = sample([docs[k][1] for k in mine])
+        fitted = C.fit(data, np.array([good[k] for k in mine]), whole=whole)
+        shape += fitted.shape * len(mine) / 160
+        for bucket in data.buckets.tolist():
+            total[bucket] += fitted.word[bucket]
+            times[bucket] += 1
+    expected = np.array([total[b] / times[b] if times[b] else 0.0 for b in range(1 << C.BITS)])
+    assert np.count_nonzero(expected) > 100
+    assert np.allclose(model.word, expected, atol=1e-3) and np.allclose(model.shape, shape, atol=1e-3)
+
+
+def test_scarce_documents_are_in_every_block(spark, make, prose):
+    """Four bad documents for eight blocks: all good ones are paired, so no word of theirs is without a weight, and scores are like those of the plain fit."""
+    order = by_place(spark, range(240))
+    bad = set(order[:160:40])
+    docs = [(k, f"vileword {t} vileword" if k in bad else t) for k, t in ((k, prose(30, k)) for k in range(240))]
+    tables_ = tables(spark, make, docs, [(k, int(k not in bad), 0) for k in range(240)])
+    model, plain = (C.train(*tables_, block=n) for n in (20, 6000))
+    data = sample([docs[k][1] for k in order[:160]])
+    known = np.bincount(data.buckets, minlength=1 << C.BITS) >= C.LEAST_DOCS
+    assert np.array_equal(model.word != 0, known)
+    assert np.corrcoef(data.scores(model), data.scores(plain))[0, 1] > 0.95
+
+
+def test_key_of_a_rank(spark):
+    rnd = random.Random(6)
+    for keys in ([rnd.randrange(-(1 << 63), 1 << 63) for _ in range(500)], [rnd.randrange(-300_000, 300_000) for _ in range(70_000)], [5] * 70_000 + [-1]):
+        df = spark.createDataFrame([(k,) for k in keys], "key bigint")
+        assert all(C._at_rank(df, r) == sorted(keys)[r] for r in (0, 1, 250, len(keys) - 1))
