@@ -41,6 +41,10 @@ THRESHOLD = 0.75
 #: Members of a bucket from which on it is split by rare words, and members of a block.
 HOT = 200
 BLOCK = 500
+#: Texts that are looked up by a broadcast of their ids, at most; the word arrays of more are shuffled.
+FEW = 200_000
+#: Counters of how often words are, in a power of two; words that share one have a common number.
+COUNTER_BITS = 20
 
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _SHORT_INV = _U(pow(int(BASE2), -1, 1 << 64))
@@ -235,26 +239,50 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 _AT = "struct<doc_id: bigint, row_key: bigint>"
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word arrays to their words, told apart by occurrence."""
+def _tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Of each word array, its words, told apart by occurrence."""
+    for v in batch.column(1):
+        x = np.frombuffer(v.as_buffer(), dtype="<u4").astype(np.uint64)
+        yield mix(x + occurrences(x, np.zeros(len(x), np.int64)) * BASE2)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """How many words of a partition have each counter."""
+    n = np.zeros(1 << bits, dtype=np.int64)
     for batch in batches:
-        data = [np.frombuffer(v.as_buffer(), dtype="<u4").astype(np.uint64) for v in batch.column(1)]
-        tokens = [mix(x + occurrences(x, np.zeros(len(x), np.int64)) * BASE2) for x in data]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), signed(np.concatenate([*tokens, np.zeros(0, np.uint64)])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["at", "tokens"])
+        for tokens in _tokens(batch):
+            np.add.at(n, tokens >> _U(64 - bits), 1)
+    slot = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n[slot])], names=["slot", "n"])
 
 
-def _rarest(arrays: DataFrame, threshold: float) -> DataFrame:
-    """(at, token): the rarest words of each text, one of which any two texts within the bound share.
+def _rarest(arrays: DataFrame, threshold: float, bits: int = COUNTER_BITS) -> DataFrame:
+    """(at, tokens): the rarest words of each text, one of which any two texts within the bound share.
 
     Texts of n and m words within the bound share at least threshold * max(n, m) words, so not all
-    of the rarest n - threshold * n + 1 of one can be missing among those of the other.
+    of the rarest n - threshold * n + 1 of one can be missing among those of the other.  That holds for
+    any order of words that is the same for all texts; this one is by counters of a bounded number,
+    so each text is looked at by itself and no word is shuffled.
     """
-    tokens = arrays.mapInArrow(_tokens, f"at {_AT}, tokens array<bigint>").select("at", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
-    place = F.row_number().over(Window.partitionBy("at").orderBy("texts", "token"))
-    return tokens.join(often, "token").withColumn("place", place).where(F.col("place") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1).select("at", "token")
+    found = arrays.mapInArrow(lambda batches: _counted(batches, bits), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << bits, dtype=np.int64)
+    often[found["slot"].to_numpy()] = found["n"].to_numpy()
+    sent = arrays.sparkSession.sparkContext.broadcast(often)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [t[np.lexsort((t, sent.value[t >> _U(64 - bits)]))[: allowed_edits(len(t), threshold) + 1]] for t in _tokens(batch)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), signed(np.concatenate([*kept, np.zeros(0, np.uint64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["at", "tokens"])
+
+    return arrays.mapInArrow(first, f"at {_AT}, tokens array<bigint>")
+
+
+def _of(arrays: DataFrame, ids: DataFrame) -> DataFrame:
+    """The word arrays of the texts in the one column ``at``; those of few aren't shuffled."""
+    ids = cut(ids.distinct())
+    return arrays.join(F.broadcast(ids) if ids.count() <= FEW else ids, "at")
 
 
 def _across(members: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -347,13 +375,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hot = mixed.where(F.col("size") > HOT)
     drop = lambda: None
     if not hot.isEmpty():
-        split, drop = table(hot.join(_rarest(arrays.join(hot.select("at").distinct(), "at"), threshold), "at"))
-        rest = rest.unionByName(_across(split, ["sketch", "token"], threshold)).distinct()
+        rare = _rarest(_of(arrays, hot.select("at")).select("at", "words"), threshold)
+        # equal hashes of different keys only add pairs to verify
+        split, drop = table(hot.join(rare, "at").select("at", "n", "root", "sketch", F.explode("tokens").alias("token")).select("at", "n", "root", F.xxhash64("sketch", "token").alias("key")))
+        rest = rest.unionByName(_across(split, ["key"], threshold)).distinct()
         del split
     rest = cut(rest.join(pairs, ["a", "b"], "left_anti"), free=True)
     drop()
     if not rest.isEmpty():
         links = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        arrays = _of(arrays, rest.select(F.col("a").alias("at")).union(rest.select("b")))
         found = components(links.unionByName(_verified(rest, arrays, threshold)))
     return found.where("node <> root").select("node.*", F.col("root.doc_id").alias("kept_doc_id"), F.col("root.row_key").alias("kept_row_key"))
 

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from probitas.llm import near_dedup as N
 from probitas.llm.common import pieces, words
 from probitas.llm.components import components
 from probitas.llm.near_dedup import THRESHOLD, allowed_edits, banded_distance, drop_near_duplicates, near_duplicates, text_sketches
@@ -163,6 +164,38 @@ def test_passage_in_many_documents(make, prose):
     assert len(found) <= 160
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_word_arrays_of_few_texts_are_not_shuffled(spark, monkeypatch, few):
+    monkeypatch.setattr(N, "FEW", few)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        arrays = N.cut(spark.range(50).selectExpr("named_struct('doc_id', id, 'row_key', id) as at", "cast('abcd' as binary) as words"))
+        found = N._of(arrays, arrays.where("at.doc_id % 5 = 0").select("at").union(arrays.select("at").limit(0)))
+        assert sorted(r.at.doc_id for r in found.collect()) == list(range(0, 50, 5))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (few > 0) and ("Exchange hashpartitioning" in plan) == (few == 0)
+        rare = N._rarest(arrays, THRESHOLD)
+        assert rare._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("bits", [2, 20])
+def test_rarest_words_are_shared_within_the_bound(spark, bits):
+    """Also where most words share a counter."""
+    rnd = random.Random(9)
+    lists = []
+    for _ in range(60):
+        base = [rnd.randrange(rnd.choice((5, 3000))) for _ in range(rnd.randint(1, 60))]
+        lists += [base, [rnd.randrange(3000) if rnd.random() < 0.2 else w for w in base]]
+    rows = [((k, k), np.array(x, "<u4").tobytes()) for k, x in enumerate(lists)]
+    arrays = spark.createDataFrame(rows, "at struct<doc_id: bigint, row_key: bigint>, words binary")
+    rare = {r.at.doc_id: r.tokens for r in N._rarest(arrays, THRESHOLD, bits).collect()}
+    assert all(len(rare[k]) == allowed_edits(len(x), THRESHOLD) + 1 for k, x in enumerate(lists))
+    close = [(i, j) for i in range(120) for j in range(i) if distance(lists[i], lists[j]) <= allowed_edits(max(len(lists[i]), len(lists[j])), THRESHOLD)]
+    assert len(close) > 30 and all(set(rare[i]) & set(rare[j]) for i, j in close)
+
+
 def test_components_of_a_path(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (5, 5)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
