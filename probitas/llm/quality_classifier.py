@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import _U, BASE2, Pieces, byte_values, cut, lowered, pieces, prefix_sums, span_hashes, table, words
+from .common import _U, BASE2, Pieces, byte_values, cut, lowered, mix, pieces, prefix_sums, span_hashes, table, words
 from .decontamination import _filter
 
 #: Documents, and bytes of text, of a block that is fitted in one task, on average.
@@ -54,6 +54,15 @@ _PLAIN[[ord(c) for c in ".,;:'\"()?!-"]] = True
 SHAPES = ("upper", "digits", "odd signs", "exclamation marks", "bars", "repeated words", "equal neighbours", "word length", "log words", "distinct words", "line breaks", "full stops")
 
 
+def _row_sums(values: np.ndarray, heads: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """The sum of each row's values; heads: the first value of each row, and the end."""
+    sums = np.zeros(len(heads) - 1, dtype=kind)
+    there = np.flatnonzero(heads[1:] > heads[:-1])
+    if len(there):
+        sums[there] = np.add.reduceat(values, heads[there], dtype=kind)
+    return sums
+
+
 def features(piece: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shape measures of each row; then bucket and weight of the features of each different word of a row, and the first feature of each row with the end."""
     data, offsets = piece
@@ -65,19 +74,19 @@ def features(piece: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     many = np.maximum(count, 1)
 
     def total(marks: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(marks)])
-        return sums[offsets[1:]] - sums[offsets[:-1]]
+        return _row_sums(marks, offsets, np.int64)
 
     keys = found.hash + row.astype(np.uint64) * BASE2
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ranked = keys[order]
     fresh = np.ones(len(keys), dtype=bool)
     fresh[1:] = ranked[1:] != ranked[:-1]
     heads = np.flatnonzero(fresh)
-    times = np.diff(np.append(heads, len(keys)))
-    at = order[heads]
-    back = np.argsort(row[at], kind="stable")
-    at, times = at[back], times[back]
+    repeats = np.zeros(len(keys), dtype=np.int64)
+    if len(heads):
+        repeats[np.minimum.reduceat(order, heads)] = np.diff(np.append(heads, len(keys)))
+    at = np.flatnonzero(repeats)
+    times = repeats[at]
     owner = row[at]
     different = np.bincount(owner, minlength=rows)
     neighbours = np.zeros(rows)
@@ -122,17 +131,20 @@ class Model(NamedTuple):
 
     def scores(self, piece: Pieces) -> np.ndarray:
         shape, buckets, weights, heads = features(piece)
-        sums = np.concatenate([[0.0], np.cumsum(self.word[buckets] * weights)])
-        return np.round(((shape - self.mean) / self.scale).clip(-8, 8) @ self.shape + sums[heads[1:]] - sums[heads[:-1]], 6)
+        return np.round(((shape - self.mean) / self.scale).clip(-8, 8) @ self.shape + _row_sums(self.word[buckets] * weights, heads), 6)
 
 
 class Sample(NamedTuple):
-    """Features of rows: their shapes; then bucket, weight and row of each other feature."""
+    """Features of rows: their shapes; then bucket, weight and row of each other feature, and the number of its word.
+
+    They are in the order of rows and words; those of a word have one weight.
+    """
 
     shape: np.ndarray
     buckets: np.ndarray
     weights: np.ndarray
     row: np.ndarray
+    word: np.ndarray
 
     def scores(self, model: Model) -> np.ndarray:
         words_ = np.bincount(self.row, weights=model.word[self.buckets] * self.weights, minlength=len(self.shape))
@@ -161,12 +173,14 @@ def _row_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _text_sample(texts: pa.Array) -> Sample:
     """The features of texts, in their order."""
-    parts = []
+    parts, before = [], 0
     for i, j, piece in pieces(texts):
         shape, buckets, weights, heads = features(piece)
         there = np.flatnonzero(weights > 0)
         row = np.repeat(np.arange(i, j, dtype=np.int32), np.diff(heads))
-        parts.append(Sample(shape, buckets[there].astype("<i4"), weights[there], row[there]))
+        word = (before + there // (1 + len(BEGINNINGS))).astype(np.int32)
+        parts.append(Sample(shape, buckets[there].astype("<i4"), weights[there], row[there], word))
+        before += len(buckets) // (1 + len(BEGINNINGS))
     return Sample(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
@@ -176,7 +190,8 @@ def _sample(rows: pa.Table) -> Sample:
     buckets = flat("buckets", "<i4")
     there = np.flatnonzero(buckets >= 0)
     row = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
-    return Sample(flat("shape", "<f8").reshape(-1, len(SHAPES)), buckets[there], flat("weights", "<f8")[there // (1 + len(BEGINNINGS))], row[there])
+    word = there // (1 + len(BEGINNINGS))
+    return Sample(flat("shape", "<f8").reshape(-1, len(SHAPES)), buckets[there], flat("weights", "<f8")[word], row[there], word)
 
 
 class Whole(NamedTuple):
@@ -187,6 +202,50 @@ class Whole(NamedTuple):
     known: np.ndarray
 
 
+class Terms(NamedTuple):
+    """Words of rows, without the features that don't count.
+
+    used: the buckets that count; columns: places in ``used`` of the features of each different word, one
+    after the last for none; term and value: the different word and the weight of each word of a row, by row;
+    heads: the first of them of each row, and the end.
+    """
+
+    used: np.ndarray
+    columns: np.ndarray
+    term: np.ndarray
+    value: np.ndarray
+    heads: np.ndarray
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        """The sum of each row, ``w`` being of the buckets used."""
+        return _row_sums(np.append(w, 0.0)[self.columns].sum(axis=0)[self.term] * self.value, self.heads)
+
+    def gradient(self, pull: np.ndarray) -> np.ndarray:
+        """What the rows' pulls add up to in each of the buckets used."""
+        pulled = np.bincount(self.term, weights=np.repeat(pull, np.diff(self.heads)) * self.value, minlength=self.columns.shape[1])
+        return np.bincount(self.columns.ravel(), weights=np.tile(pulled, len(self.columns)), minlength=len(self.used) + 1)[:-1]
+
+
+def _terms(sample: Sample, known: np.ndarray) -> Terms:
+    """A word and its beginnings have one weight in a row, so their weights are added once for each different word and not in each row."""
+    keep = known[sample.buckets]
+    bucket = sample.buckets[keep]
+    used = np.flatnonzero(np.bincount(bucket, minlength=1 << BITS))
+    place = np.zeros(1 << BITS, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    fresh = np.diff(sample.word[keep], prepend=-1) != 0
+    at = np.flatnonzero(fresh)
+    value, heads = sample.weights[keep][at] * 8, np.searchsorted(sample.row[keep][at], np.arange(len(sample.shape) + 1))
+    there = np.cumsum(fresh, dtype=np.int32) - 1
+    columns = np.full((1 + len(BEGINNINGS), len(at)), len(used), dtype=np.int32)
+    columns[np.arange(len(bucket), dtype=np.int32) - at.astype(np.int32)[there], there] = place[bucket]
+    del keep, bucket, fresh, at, there
+    numbers = mix(np.arange(columns.shape[0] * (len(used) + 1), dtype=np.uint64) * BASE2).reshape(columns.shape[0], -1)
+    keys = sum(number[column] for number, column in zip(numbers, columns, strict=True))
+    _, first, term = np.unique(keys, return_index=True, return_inverse=True)
+    return Terms(used, columns[:, first].astype(np.int64), term, value, heads)
+
+
 def fit(sample: Sample, preferred: np.ndarray, seed: int = 3, steps: int = 250, rate: float = 0.05, penalty: float = 3e-4, whole: Whole | None = None) -> Model:
     """Weights for the documents given; preferred is True for the better ones.  The threshold is left open.
 
@@ -200,25 +259,21 @@ def fit(sample: Sample, preferred: np.ndarray, seed: int = 3, steps: int = 250,
         whole = Whole(sample.shape.mean(axis=0), sample.shape.std(axis=0) + 1e-6, np.bincount(sample.buckets, minlength=1 << BITS) >= LEAST_DOCS)
     mean, scale, known = whole
     shape = ((sample.shape - mean) / scale).clip(-8, 8)
-    used = np.flatnonzero(known)
-    place = np.zeros(1 << BITS, dtype=np.int32)
-    place[used] = np.arange(len(used))
-    keep = known[sample.buckets]
-    column, value, row = place[sample.buckets[keep]], sample.weights[keep].astype(np.float32) * 8, sample.row[keep]
-    del sample, keep
-    w = np.zeros(shape.shape[1] + len(used))
+    terms = _terms(sample, known)
+    del sample
+    w = np.zeros(shape.shape[1] + len(terms.used))
     first, second = np.zeros_like(w), np.zeros_like(w)
     d = shape.shape[1]
     for step in range(1, steps + 1):
-        score = shape @ w[:d] + np.bincount(row, weights=w[d:][column] * value, minlength=len(shape))
+        score = shape @ w[:d] + terms.scores(w[d:])
         push = 1 / (1 + np.exp(np.clip(score[winners] - score[losers], -30, 30))) / len(losers)
         pull = np.bincount(winners, weights=push, minlength=len(shape)) - np.bincount(losers, weights=push, minlength=len(shape))
-        gradient = np.concatenate([shape.T @ pull, np.bincount(column, weights=value * pull[row], minlength=len(used))]) - penalty * w
+        gradient = np.concatenate([shape.T @ pull, terms.gradient(pull)]) - penalty * w
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         w = w + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     word = np.zeros(1 << BITS)
-    word[used] = w[d:] * 8
+    word[terms.used] = w[d:] * 8
     return Model(mean, scale, w[:d], word, -np.inf)
 
 
@@ -250,9 +305,9 @@ def _fit_block(rows: pa.Table, whole: Whole) -> pa.Table:
     preferred = rows["preferred"].to_numpy()
     if not preferred.any() or preferred.all():
         return pa.table({x: pa.array([], pa.int64()) for x in ("slot", "product", "times")})
-    sample = _text_sample(rows["text"])
-    occur = np.bincount(sample.buckets, minlength=1 << BITS)
-    model = fit(sample, preferred, whole=whole)
+    samples = [_text_sample(rows["text"])]
+    occur = np.bincount(samples[0].buckets, minlength=1 << BITS)
+    model = fit(samples.pop(), preferred, whole=whole)  # not held here, so that fit can let go of it
     used = np.flatnonzero((occur > 0) & whole.known)
     times = np.concatenate([occur[used], np.full(len(SHAPES), len(rows))])
     product = np.rint(np.concatenate([model.word[used], model.shape]) * _FINE).astype(np.int64) * times

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -169,6 +170,42 @@ def test_fit_agrees_with_a_version_in_plain_python():
     assert min(np.array(expected)[preferred]) > max(np.array(expected)[~preferred])
 
 
+def test_words_are_summed_like_their_features():
+    """Against the matrix of rows and buckets: words of all lengths, repeated ones, rows without words and with none that counts."""
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choices("abc", k=n)) for n in (1, 3, 4, 5, 6, 7, 12) for _ in range(4)]
+    texts = ["", *(" ".join(rnd.choices(vocabulary, k=rnd.randrange(30))) for _ in range(40)), "onlyhere", ""]
+    data = sample(texts)
+    rng = np.random.default_rng(5)
+    for least in (1, C.LEAST_DOCS, 1000):
+        known = np.bincount(data.buckets, minlength=1 << C.BITS) >= least
+        matrix = np.zeros((len(texts), 1 << C.BITS))
+        np.add.at(matrix, (data.row, data.buckets), data.weights * 8)
+        matrix[:, ~known] = 0
+        terms = C._terms(data, known)
+        assert np.array_equal(terms.used, np.flatnonzero(known))
+        w, pull = rng.normal(size=len(terms.used)), rng.normal(size=len(texts))
+        assert np.allclose(terms.scores(w), matrix[:, terms.used] @ w) and np.allclose(terms.gradient(pull), pull @ matrix[:, terms.used])
+    together = C._text_sample(pa.array(texts))
+    terms = C._terms(together, np.bincount(together.buckets, minlength=1 << C.BITS) > 0)
+    assert len(terms.term) == sum(len(set(t.split())) for t in texts) and terms.columns.shape == (4, len({w for t in texts for w in t.split()}))
+
+
+def test_beginnings_of_words_cost_no_step_in_each_row():
+    """Fitting as many different words takes about as long whether they have beginnings or not; with a step for each feature of a row it is over twice as long."""
+    rnd = random.Random(9)
+    seconds = []
+    for form in ("{:03x}", "{:03x}beginning"):
+        data = sample([" ".join(form.format(k) for k in rnd.sample(range(4096), 300)) for _ in range(600)])
+        times = []
+        for _ in range(3):
+            start = time.process_time()
+            C.fit(data, np.arange(600) % 2 == 0, steps=60)
+            times.append(time.process_time() - start)
+        seconds.append(min(times))
+    assert seconds[1] < 2 * seconds[0]
+
+
 def test_documents_of_one_id_are_one_for_training(spark, make, prose):
     docs, labels = corpus(prose, 60)
     labelled = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
